@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ogg
+from . import bitplanes, exact_dedup, ogg, packing
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
+    "op2_best_fit": packing.op2_best_fit,
+    "op5_bitplanes": bitplanes.op5_bitplanes,
     "op7_patricia": exact_dedup.op7_patricia,
 }
 
