@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitplanes, exact_dedup, ogg, packing
+from . import bitplanes, exact_dedup, ogg, packing, simhash
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
     "op2_best_fit": packing.op2_best_fit,
+    "op3_golay": simhash.op3_golay,
     "op5_bitplanes": bitplanes.op5_bitplanes,
     "op7_patricia": exact_dedup.op7_patricia,
 }
