@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bitplanes, exact_dedup, ogg, packing, simhash
+from . import bitplanes, exact_dedup, language, ogg, packing, quality, simhash
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
     "op2_best_fit": packing.op2_best_fit,
     "op3_golay": simhash.op3_golay,
+    "op4_ordinal": quality.op4_ordinal,
     "op5_bitplanes": bitplanes.op5_bitplanes,
+    "op10_hyperdimensional": language.op10_hyperdimensional,
     "op7_patricia": exact_dedup.op7_patricia,
 }
 
