@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, exact_dedup, language, ogg, packing, quality, simhash
+from . import bitplanes, exact_dedup, language, ogg, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_golay": simhash.op3_golay,
     "op4_ordinal": quality.op4_ordinal,
     "op5_bitplanes": bitplanes.op5_bitplanes,
+    "op8_levenshtein": toxicity.op8_levenshtein,
     "op10_hyperdimensional": language.op10_hyperdimensional,
     "op7_patricia": exact_dedup.op7_patricia,
 }
