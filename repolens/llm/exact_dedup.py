@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, documents, id_and_text, materialize, per_slice, slices, utf8
+from .near_dedup import keep_owners
 
 TRIE_BYTES = 48 << 20
 OWNER = "digest binary, n_bytes long, h long, body binary, owner long, group_size long"
@@ -190,6 +191,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, less exact copies; null handling as in ``exact_groups``."""
+    owners = merged_owners(partial_owners(docs)).where("group_size > 1").select(F.lower(F.hex("digest")).alias("node"), F.col("owner").alias("keep_id"))
+    owners = owners.select("node", "keep_id", F.col("node").alias("keep_node"), F.lit(True).alias("grouped"))
+    squeezed = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return keep_owners(docs, F.sha2(squeezed.cast("binary"), 256), materialize(owners, "owners"))
+
+
 def op7_patricia(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents."""
     return exact_groups(documents(spark, sf_dir))

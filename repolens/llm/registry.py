@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, exact_dedup, language, ogg, packing, quality, simhash, toxicity
+from . import bitplanes, exact_dedup, language, mixing, ogg, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ordinal": quality.op4_ordinal,
     "op5_bitplanes": bitplanes.op5_bitplanes,
     "op8_levenshtein": toxicity.op8_levenshtein,
+    "op9_hierarchical": mixing.op9_hierarchical,
     "op10_hyperdimensional": language.op10_hyperdimensional,
     "op7_patricia": exact_dedup.op7_patricia,
 }
