@@ -16,15 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_of_id, documents, id_and_text, per_slice, slices
+from .common import arrow_schema, crc_of_id, documents, id_and_text, materialize, per_slice, slices
 
 FOLDS = 5
 #: Labelled rows of either kind that a fit reads at most, and terms that a lexicon holds at most.
 FIT_TOXIC, FIT_CLEAN = 6_000, 14_000
-MAX_TERMS = 2_000
+MAX_TERMS = 500
 STEM_SIZES = (4, 5, 6)
 WINDOW = 6
 #: Highest probability that chance alone makes a word look toxic.
@@ -67,25 +68,35 @@ class Trie:
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The term with the fewest errors against ``word`` (a letter more, less or other, or two neighbours
-        swapped), within what its length allows. The automaton's state is the last two rows of errors by
-        letters of the word read; a branch ends when all exceed what any term below it may have."""
+        swapped), within what its length allows. The automaton is nondeterministic, its states bits: bit i of
+        mask k says that i letters of the word can be read with k errors. A branch ends when no state that
+        some term below it allows is left."""
+        n, masks = len(word), {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << i
+        full, end = (2 << n) - 1, 1 << n
         best: tuple[str, int] | None = None
-        first = tuple(range(len(word) + 1))
-        stack: list[tuple[int, str, tuple[int, ...], tuple[int, ...] | None]] = [(0, "", first, None)]
+        start = (1, 3 & full, 7 & full)
+        stack = [(0, "", start, (0, 0, 0))]
         while stack:
-            node, last, row, older = stack.pop()
+            node, last, (r0, r1, r2), (p0, p1, _) = stack.pop()
             term = self.term[node]
-            if term is not None and row[-1] <= allowed(len(term)) and (best is None or (row[-1], term) < (best[1], best[0])):
-                best = (term, row[-1])
+            if term is not None:
+                errors = 0 if r0 & end else 1 if r1 & end else 2 if r2 & end else 3
+                if errors <= allowed(len(term)) and (best is None or (errors, term) < (best[1], best[0])):
+                    best = (term, errors)
             for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    cost = min(row[i] + (w != c), row[i + 1] + 1, new[i] + 1)
-                    if older is not None and i and w == last and word[i - 1] == c:
-                        cost = min(cost, older[i - 1] + 1)
-                    new.append(cost)
-                if min(new) <= self.most[child] or min(row) < self.most[child]:
-                    stack.append((child, c, tuple(new), row))
+                m = masks.get(c, 0)
+                most = self.most[child]
+                n0 = (r0 & m) << 1
+                n1 = n2 = 0
+                if most:
+                    swap = m & (masks.get(last, 0) >> 1)
+                    n1 = (((r1 & m) << 1) | r0 | (r0 << 1) | (n0 << 1) | ((p0 & swap) << 2 if last else 0)) & full
+                if most > 1:
+                    n2 = (((r2 & m) << 1) | r1 | (r1 << 1) | (n1 << 1) | ((p1 & swap) << 2 if last else 0)) & full
+                if n0 | n1 | n2:
+                    stack.append((child, c, (n0, n1, n2), (r0, r1, r2)))
         return best
 
 
@@ -187,6 +198,7 @@ def hits(text: str, known: _Known) -> list[tuple[int, int, str, bool, bool]]:
 
 
 N_FEATURES = 6
+_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def measure(text: str | None, known: _Known) -> list[float]:
@@ -224,6 +236,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30)
     return w[:-1], float(w[-1])
 
 
+def _smallest(text: str) -> list[int]:
+    """The smallest hash of any three words in a row, under four orders."""
+    words = text.lower().split()
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+    return [int((hashes * np.uint64(odd)).min() >> np.uint64(1)) for odd in _ORDERS]
+
+
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, most_clean: float = 0.02) -> Lexicon:
     """Terms and stems that toxic rows of ``sample`` (text, toxic) use and clean ones hardly ever do: in at
     least two toxic texts, and at a rate among clean texts of at most ``most_clean`` of that among toxic ones."""
@@ -249,6 +268,17 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, most_clean: flo
                     yield from out()
         yield from out()
 
+    # near copies of one text would vouch for all of its words: of texts that share the smallest of their
+    # shingle hashes under one of four orders, one counts
+    def sketch(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("text").to_pylist()
+        marks = [_smallest(t or "") for t in texts]
+        return {"text": batch.column("text"), "toxic": batch.column("toxic")} | {f"m{k}": [m[k] for m in marks] for k in range(4)}
+
+    sample = per_slice(sample.select("text", "toxic"), sketch, "text string, toxic int, m0 long, m1 long, m2 long, m3 long")
+    for k in range(4):
+        sample = sample.dropDuplicates(["toxic", f"m{k}"])
+    sample = materialize(sample.select("text", "toxic"), "sample")
     size = sample.groupBy("toxic").count().collect()  # two rows
     n = {r["toxic"]: r["count"] for r in size}
     ratio = n.get(1, 0) / max(1, n.get(0, 0))
