@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, exact_dedup, language, mixing, ogg, packing, quality, simhash, toxicity
+from . import bitplanes, exact_dedup, language, mixing, ogg, packing, quality, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_levenshtein": toxicity.op8_levenshtein,
     "op9_hierarchical": mixing.op9_hierarchical,
     "op10_hyperdimensional": language.op10_hyperdimensional,
+    "op6_suffix": substring_dedup.op6_suffix,
     "op7_patricia": exact_dedup.op7_patricia,
 }
 
