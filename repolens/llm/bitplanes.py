@@ -149,8 +149,12 @@ class Reader:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size of ``df`` before it runs: no job, any store."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size of ``df`` (with ``text``) before it runs: no job, any store. Where the plan has no size
+    of its own the text's bytes are summed."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if planned < 1 << 60:
+        return planned
+    return df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, kind: str = "byte", end_id: int = END_ID) -> None:

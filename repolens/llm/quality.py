@@ -83,7 +83,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     """Maximum likelihood by Adam over all rows; thresholds are the first one and positive gaps, so they stay
     ordered. A grade that never occurs only widens its neighbours' gap."""
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), size)
     value = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
     above = [float(np.clip(np.mean(grades > k), 0.01, 0.99)) if len(grades) else 0.5 for k in range(n_grades - 1)]

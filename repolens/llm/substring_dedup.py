@@ -41,9 +41,9 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
+    if len(_powers[0]) <= n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
+            steps = np.full(n + 1, base, np.uint64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers
@@ -174,6 +174,8 @@ def _anchor_rows(buckets: int):
             rows = []
             for flag, mask in ((False, ~known), (True, known)):
                 at = np.flatnonzero(mask)
+                if not len(at):
+                    continue
                 at = at[np.argsort(bucket[at], kind="stable")]
                 edges = np.flatnonzero(np.diff(bucket[at], prepend=-1))
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
