@@ -31,7 +31,7 @@ class _Hashes(dict):
     """Feature numbers by name, kept up to a bound."""
 
     def __missing__(self, name: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[name] = got = zlib.crc32(name) % DIMENSIONS
         return got

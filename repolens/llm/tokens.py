@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pre-tokens kept by a worker before the table starts afresh.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 
 #: Byte classes of the fast way: white space, letters, digits, others.
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3

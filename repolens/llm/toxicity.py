@@ -108,7 +108,7 @@ class _Known(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = got = self.lexicon.look(word)
         return got
