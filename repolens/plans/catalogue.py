@@ -410,7 +410,7 @@ def dependency_versions(t: Tables) -> DataFrame:
     return t.dependencies().select("name", "ecosystem", names.chosen_version(F.col("resolved"), F.col("declared")).alias("version"), names.version_status(F.col("resolved"), F.col("declared")).alias("status"))
 
 
-@query(with_views("deps") + " SELECT d.dep_id, lower(regexp_replace(d.name, '[-_.]+', '-', 'g')) AS key FROM deps d WHERE lower(regexp_replace(d.name, '[-_.]+', '-', 'g')) IN (SELECT lower(regexp_replace(upper(p_name) || '..' || p_partkey, '[ -_.]+', '-', 'g')) FROM part WHERE false) OR lower(regexp_replace(d.name, '[-_.]+', '-', 'g')) IN (SELECT lower(regexp_replace(replace(upper(p_name), ' ', '--') || '__' || p_partkey, '[-_.]+', '-', 'g')) FROM part WHERE p_partkey % 2 = 0)")
+@query(with_views("deps") + " SELECT d.dep_id, lower(regexp_replace(d.name, '[-_.]+', '-', 'g')) AS key FROM deps d WHERE lower(regexp_replace(d.name, '[-_.]+', '-', 'g')) IN (SELECT lower(regexp_replace(replace(upper(p_name), ' ', '--') || '__' || p_partkey, '[-_.]+', '-', 'g')) FROM part WHERE p_partkey % 2 = 0)")
 def dependency_key_match(t: Tables) -> DataFrame:
     asked = t.part.where("p_partkey % 2 = 0").select(F.concat(F.regexp_replace(F.upper("p_name"), " ", "--"), F.lit("__"), "p_partkey").alias("name"))
     keys = asked.select(names.normalized_package(F.col("name")).alias("key")).distinct()
