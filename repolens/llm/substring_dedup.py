@@ -262,8 +262,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_spans(ids: np.ndarray, bodies: list[bytes], least: int = LEAST) -> np.ndarray:
     """Which bytes of ``bodies`` (in a row, each followed by one more) a document with a smaller id shares in a
     string of at least ``least`` bytes: from all maximal repeat groups."""
-    array = SuffixArray(bodies)
-    reach = np.zeros(len(array.code), np.int64)
+    array = SuffixArray(bodies, least)
+    reach = np.zeros(len(array.text), np.int64)
     owner = ids[array.owner]
     for length, at in array.maximal_repeats(least):
         who = owner[at]
