@@ -5,11 +5,17 @@ words by which copies differ leave some two segments nearly alike. Linked finger
 clusters; in each cluster the sets of five-word shingles are compared exactly and texts of a similarity of
 0.8 or more are linked. A cluster too large for a task is cut into blocks, and each two blocks meet in a
 task of their own.
+
+Fingerprints find most links and gather large groups, but not every link. The rest come from prefix
+filtering, which loses none: with shingles in one order for all texts, two sets of the least similarity
+share one of the first shingles of each. Pairs that share one, and that sizes, places and parity marks
+allow, are compared unless one group has both already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialize, per_slice, slices, utf8
-from .simhash import bit_counts, components, golay_links, shingle_hashes
+from .simhash import SHORT_RUN, bit_counts, components, golay_links, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -26,6 +32,14 @@ SEGMENTS, SEGMENT_BITS = 5, 23
 #: Of 115 bits, how many candidates may differ in.
 CANDIDATE_BITS = 20
 BLOCK = 2_000
+#: Texts read to find common shingles, and how many of these are put last in the order; any order finds all links.
+RANKED_TEXTS, RANKED = 2_000, 20_000
+#: A set's mark has so many bits, each the parity of the shingles that fall on it.
+MARK_BITS = 1_024
+#: Shingles are dealt out in so many shares, one after another, so that one share's rows are on disk at a time.
+SHARES = 4
+#: Nodes of clusters that are sent to all tasks; more are joined.
+SENT_NODES = 200_000
 
 WORDS = ["f0", "f1", "f2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,7 +113,148 @@ def _set_of(text: bytes) -> np.ndarray:
 
 
 def near_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` between the nodes of ``rows`` (node, text): see ``similar_links``."""
+    """Links ``(a, b)`` that connect all nodes of ``rows`` (node, text) whose shingle sets are similar."""
+    found = materialize(fingerprint_links(rows, block), "found")
+    return found.unionByName(prefix_links(rows, components(found), block))
+
+
+def enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Whether sets of ``a`` and ``b`` shingles that share ``both`` are similar."""
+    return both >= least * (a + b - both) - 1e-9
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, count: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set, those not in ``common`` (sorted) first and then by ``count``: any two
+    similar sets share one of these."""
+    if not len(shingles):
+        return shingles
+    seen = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        seen = np.where(common[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, seen))][: len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1]
+
+
+def parity_mark(shingles: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many shingles as their marks do in bits."""
+    odd = np.bincount((shingles % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of equal key (``keys`` sorted) that no root but 0 joins yet and that could still be similar if
+    the key is the first shingle they share."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begin, len(keys)))
+    pairs = [np.zeros((2, 0), np.int64)]
+
+    def compare(at: np.ndarray, to: np.ndarray) -> None:
+        rest = np.minimum(size[at] - place[at], size[to] - place[to])
+        hit = (node[at] != node[to]) & ((root[at] == 0) | (root[at] != root[to])) & enough(rest, size[at], size[to])
+        pairs.append(np.sort(np.stack([node[at[hit]], node[to[hit]]]), axis=0))
+
+    end = np.repeat(begin + np.where(length > SHORT_RUN, 0, length), length)
+    at = np.arange(len(keys))
+    step = 1
+    while len(at):
+        inside = at + step < end
+        at, end = at[inside], end[inside]
+        compare(at, at + step)
+        step += 1
+    for start, n in zip(begin[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist(), strict=True):
+        run = np.arange(start, start + n)
+        groups, members = np.unique(root[run], return_counts=True)
+        members[groups == 0] = 0
+        largest = (root[run] == groups[members.argmax()]) & (members.max() > 0)
+        others = run[~largest]
+        run = np.concatenate([others, run[largest]])
+        for i, one in enumerate(others.tolist()):
+            compare(np.full(n - i - 1, one), run[i + 1 :])
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return a, b
+
+
+def prefix_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All links ``(a, b)`` between similar nodes of ``rows`` that ``roots`` (node, root) doesn't join."""
+    total = rows.count()
+    part = min(1.0, RANKED_TEXTS / max(total, 1))
+    some = per_slice(rows.select("text").sample(part, seed=1), lambda batch: {"shingle": np.concatenate([_set_of(t) for t in utf8(batch.column("text"))]).view(np.int64)}, "shingle long")
+    ranked = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(RANKED).collect()
+    common = np.array([r["shingle"] for r in ranked], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, count = common[order], np.array([r["count"] for r in ranked], np.int64)[order]
+
+    def first(batch: pa.RecordBatch) -> dict:
+        sets = [_set_of(t) for t in utf8(batch.column("text"))]
+        return {
+            "node": batch.column("node"), "size": [len(s) for s in sets],
+            "keys": [prefix(s, common, count).view(np.int64) for s in sets], "mark": [parity_mark(s) for s in sets],
+        }
+
+    schema = "key long, node long, root long, size long, place long"
+    sets = per_slice(rows, first, "node long, size long, keys array<long>, mark array<long>")
+    sets = materialize(sets.join(roots, "node", "left").dropDuplicates(["node"]).withColumn("root", F.coalesce("root", F.lit(0).cast("long"))), "prefixes")
+
+    def spread(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """A row for each shingle of a prefix, of one share of all shingles."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 2000):
+                    piece = batch.slice(low, 2000)
+                    lists = piece.column("keys")
+                    n = np.diff(lists.offsets.to_numpy())
+                    key, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+                    own = np.flatnonzero(key.view(np.uint64) % np.uint64(SHARES) == share)
+                    columns = [key[own], *(piece.column(c).to_numpy()[row[own]] for c in ("node", "root", "size")), place[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow_schema(schema))
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = pairs_in_runs(*columns)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            whole = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield from out([c[:whole] for c in columns])
+            held = [c[whole:] for c in columns]
+        if held is not None:
+            yield from out(held)
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose marks differ in no more bits than similar sets do in shingles."""
+        for batch in batches:
+            a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "size_a", "size_b"))
+            x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, MARK_BITS // 64) for c in ("mark_a", "mark_b"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = enough((m + n - apart) // 2, m, n)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    met = []
+    for share in range(SHARES):
+        rows.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of what is done
+        keyed = sets.select("node", "root", "size", "keys").mapInArrow(spread(share), schema)
+        met.append(materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long").distinct(), "met"))
+    pairs = reduce(DataFrame.unionByName, met).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")), c)
+    pairs = pairs.mapInArrow(allowed, "a long, b long")
+    return verified_links(rows, components(pairs), block)
+
+
+def fingerprint_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` between similar nodes of ``rows`` (node, text) whose fingerprints are linked."""
 
     def prints(batch: pa.RecordBatch) -> dict:
         got = [long_fingerprint(t) for t in utf8(batch.column("text"))]
@@ -107,14 +262,20 @@ def near_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     made = per_slice(rows, prints, "node long, f0 long, f1 long, f2 long")
     distinct = materialize(made.groupBy("node").agg(*[F.min(w).alias(w) for w in WORDS]), "prints")
-    roots = components(golay_links(distinct, WORDS, segments_of_115, CANDIDATE_BITS))
+    return verified_links(rows, components(golay_links(distinct, WORDS, segments_of_115, CANDIDATE_BITS)), block)
+
+
+def verified_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` between similar nodes of ``rows`` (node, text) within the clusters ``roots`` (node, root): see ``similar_links``."""
     roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "clusters")
     size = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
 
     def sets(batch: pa.RecordBatch) -> dict:
         return {"node": batch.column("node"), "root": batch.column("root"), "blocks": batch.column("blocks"), "shingles": [_set_of(t).view(np.int64) for t in utf8(batch.column("text"))]}
 
-    members = rows.join(roots.join(size, "root"), "node").dropDuplicates(["node"])
+    placed = roots.join(size, "root")
+    placed = F.broadcast(placed) if roots.count() <= SENT_NODES else placed
+    members = rows.join(placed, "node").dropDuplicates(["node"])
     members = per_slice(members.select("node", "root", "blocks", "text"), sets, "node long, root long, blocks int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.select("node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -357,6 +357,27 @@ def test_near_copies_against_brute_force(spark):
     assert near_dedup.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_cut_extended_and_filled_copies_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        base = words(rng, 200, 50_000).split()
+        more = words(rng, 30, 50_000).split()
+        at = rng.randrange(200)
+        rows += [(4 * k, base), (4 * k + 1, base[:172]), (4 * k + 2, base + more), (4 * k + 3, base[:at] + more + base[at:])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    frame = table(spark, rows)
+    sets = [set(simhash.shingle_hashes(as_bytes(t), 5).tolist()) for _, t in rows]
+    nodes = [r["node"] for r in frame.orderBy("doc_id").select(near_dedup.text_node(F.col("text")).alias("node")).collect()]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) >= 180
+    want = simhash.forest(*np.array([[nodes[i], nodes[j]] for i, j in alike], np.int64).T)
+    for block in (20, 2000):
+        links = near_dedup.near_links(frame.select(near_dedup.text_node(F.col("text")).alias("node"), "text"), block).collect()
+        got = simhash.forest(*np.array([tuple(r) for r in links], np.int64).T)
+        assert sorted(zip(*got)) == sorted(zip(*want))
+
+
 def test_blocks_find_what_one_task_finds(spark):
     rng = random.Random(5)
     base = words(rng, 120, 5000).split()
