@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from repolens.llm import bitplanes, exact_dedup, golay, language, mixing, near_dedup, ogg, packing, quality, simhash, substring_dedup, suffix, tokens, toxicity
 from repolens.llm.common import scratch_path
@@ -36,7 +37,7 @@ def rows():
     shared = words(rng, 40)
     out = list(enumerate(base))
     out += [(40, base[3]), (41, base[3].replace(" ", " \t\n ", 1)), (42, base[5] + " tail"), (43, " ".join(base[7].split()[1:])), (44, words(rng, 9) + " " + shared), (45, shared + words(rng, 9))]
-    out += [(50, None), (51, ""), (52, " "), (None, "no id " + shared), (None, None), (40, base[3]), (40, "other text of the same id"), (60, words(rng, 30_000)), (61, "é'ß don't 日本 ×÷ l'été\x1c"), (62, "a" * 400), (63, "a" * 300)]
+    out += [(50, None), (51, ""), (52, " "), (None, "no id " + shared), (None, None), (40, base[3]), (40, "other text of the same id"), (60, words(rng, 30_000)), (61, "é'ß don't 日本 ×÷ l'été\x1c"), (62, "a" * 400), (63, "a" * 300), (64, "end <|endoftext|> of <|endoftext|>")]
     return out
 
 
@@ -90,14 +91,34 @@ def test_tokens_equal_the_library():
     t = tokens.WordTokenizer(tokens.default_path())
     rng = random.Random(2)
     alphabet = " \n\t'aslredvtm1!.é ß’"
-    texts = [None, "", "it's 'll x'd ''s", "<|endoftext|>"] + ["".join(rng.choice(alphabet[: rng.choice((6, 14, 19))]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts = [None, "", "it's 'll x'd ''s", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>\nc", "é<|endoftext"] + ["".join(rng.choice(alphabet[: rng.choice((6, 14, 19))]) for _ in range(rng.randrange(40))) for _ in range(2000)]
     ids, at = t.encode(pa.array(texts, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == t.plain([x or "" for x in texts])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library_ids(texts)
+
+
+def test_tokens_with_a_small_table_and_equal_hashes(monkeypatch):
+    """Pre-tokens are forgotten and learned again, and words of one hash are told apart."""
+    rng = random.Random(5)
+    texts = [words(rng, 300, 2000) for _ in range(60)]
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 500)
+    for one_hash in (False, True):
+        if one_hash:
+            monkeypatch.setattr(tokens, "word_hashes", lambda a: np.ones(len(a), np.uint64))
+        t = tokens.WordTokenizer(tokens.default_path())
+        for low in range(0, 60, 7):
+            ids, at = t.encode(pa.array(texts[low : low + 7], pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library_ids(texts[low : low + 7])
+        assert len(t.words) < 5000
+
+
+def library_ids(texts):
+    """Plain calls of the library with its file as it is."""
+    library = Tokenizer.from_file(tokens.default_path())
+    return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def plain_ids(rows, end):
-    t = tokens.tokenizer(tokens.default_path())
-    return [(i, x + [end]) for (i, _), x in zip(rows, t.plain([t_ or "" for _, t_ in rows]), strict=True)]
+    return [(i, x + [end]) for (i, _), x in zip(rows, library_ids([t for _, t in rows]), strict=True)]
 
 
 def crc(ids):
