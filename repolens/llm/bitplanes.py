@@ -28,7 +28,9 @@ END_ID = 0
 MAGIC = b"RLPLANE1"
 TAIL = struct.Struct("<QQ8s")
 #: Text bytes for one file.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
+#: Files whose totals are added up in one task; the groups' own totals, one for each, are added up by the driver.
+FILES_TOGETHER = 4096
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -148,13 +150,9 @@ class Reader:
             yield [None if z else i for i, z in zip(ids, nulls, strict=True)], np.frombuffer(table, "<i8", n, 8 * n)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size of ``df`` (with ``text``) before it runs: no job, any store. Where the plan has no size
-    of its own the text's bytes are summed."""
-    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if planned < 1 << 60:
-        return planned
-    return df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, from a scan of that column alone."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, kind: str = "byte", end_id: int = END_ID) -> None:
@@ -163,7 +161,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, kin
     ordered by text. An empty table writes no documents. Other columns are not read."""
     spark, vocabulary = docs.sparkSession, tokenizer_path or default_path()
     rows = id_and_text(docs)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(rows) // SHARD_BYTES))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(TaskContext.get().partitionId(), kind)
@@ -185,8 +183,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                if not data:
+            for content in batch.column("content"):
+                data = memoryview(content.as_buffer() or b"")  # no copy: the batch holds it
+                if not len(data):
                     continue
                 reader, at, left, next_block = Reader(data), 0, np.zeros(0, "<u4"), 0
                 for doc_ids, lengths in reader.documents():
@@ -210,9 +209,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     schema = "shard long, doc_id long, place long, n_tokens long, ids_crc32 long"
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = materialize(files.mapInArrow(run, schema), "ids")
-    # One row a file; files grow with the data but stay few: 64 MB of text each.
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total")).withColumn("together", F.floor(F.col("shard") / FILES_TOGETHER))
+    upto = F.sum("total").over(Window.partitionBy("together").orderBy("shard"))
+    within = totals.select("shard", "together", (upto - F.col("total")).alias("within"))
+    sums = totals.groupBy("together").agg(F.sum("total").alias("total")).orderBy("together").collect()  # a row for 4096 files, that is 128 GB of text
+    start, first = 0, []
+    for r in sums:
+        first.append((r["together"], start))
+        start += r["total"]
+    before = within.join(F.broadcast(spark.createDataFrame(first, "together long, first long")), "together").select("shard", (F.col("within") + F.col("first")).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("place") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitplanes import planned_bytes
+from .bitplanes import text_bytes
 from .common import arrow_schema, documents, materialize, slices, utf8
 from .suffix import SuffixArray
 from .tokens import flat
@@ -28,8 +28,8 @@ ANCHOR = 16
 SPARE = LEAST - ANCHOR
 HALF = SPARE // 2
 SLICE = 2 << 20
-#: Planned input bytes for one bucket of anchors, and context bytes for one suffix array.
-BUCKET_BYTES = 6 << 20
+#: Text bytes for one bucket of anchors, and context bytes for one suffix array.
+BUCKET_BYTES = 10 << 20
 ARRAY_BYTES = 1 << 19
 LAST_ID = (1 << 63) - 1
 
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = _keyed(docs)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(docs) // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // BUCKET_BYTES))
     anchors = rows.select("id", "tag", "text").mapInArrow(_anchor_rows(buckets), "bucket int, known boolean, data binary")
     replies = materialize(anchors.repartition(buckets, "bucket", "known").sortWithinPartitions("known", "bucket").mapInArrow(_replies, REPLY), "replies")
     _free_shuffles(spark)
