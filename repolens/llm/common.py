@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled at once in a Python worker; batches that Spark hands over are cut to this.
 SLICE_BYTES = 4 << 20
+#: Bytes of one Arrow batch on its way between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table: lineage ends there, a lost
     executor costs a re-read, and no later job repeats the work."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
@@ -53,8 +56,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts go by bytes, as rows differ in size by orders: where the session has not set a
+    bound of its own, ``BATCH_BYTES`` takes the place of the default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators read; others, whatever their names, never reach them."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -85,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def per_slice(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over bounded slices; ``fn`` turns one slice into columns by name."""
     target = _arrow(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):

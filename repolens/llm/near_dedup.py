@@ -326,9 +326,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def keep_owners(docs: DataFrame, key: Column, owners: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``owners`` (node, keep_id, keep_node, grouped) don't drop: those without a
-    group, and in each group one with the id and node kept."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), key.alias("node"))
+    group, and in each group one with the id and node kept. Whole rows are dealt by node once; only where ids
+    are repeated (seen from the ids alone) are kept rows dealt again, to leave one of each."""
+    own_id = F.col("doc_id").cast("long")
+    repeated = not docs.groupBy(own_id.alias("id")).count().where("count > 1").isEmpty()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own_id.alias("own_id"), key.alias("node"))
     joined = rows.join(owners, "node", "left")
-    alone = joined.where("grouped is null").select("row")
-    kept = joined.where("grouped and own_id <=> keep_id and node = keep_node").select("row", "node")
-    return alone.unionByName(kept.dropDuplicates(["node"]).select("row")).select("row.*")
+    own = "grouped and own_id <=> keep_id and node = keep_node"
+    if not repeated:
+        return joined.where(f"grouped is null or {own}").select("row.*")
+    kept = joined.where(own).select("row", "node").dropDuplicates(["node"])
+    return joined.where("grouped is null").select("row").unionByName(kept.select("row")).select("row.*")
