@@ -423,27 +423,42 @@ def test_budgets_fill_siblings_before_ancestors():
     assert mixing.budgets({}, 5, {}, 1) == {}
 
 
-@pytest.mark.parametrize(("fraction", "epochs"), [(0.4, 1), (1.3, 3), (0.0, 1), (1.0, 1)])
-def test_mixture_takes_each_leafs_prefix(spark, docs, fraction, epochs):
+UNEVEN = {("domain0",): 5.0, ("domain1",): 0.5, ("domain2",): 0.0, ("domain3", "en"): 3.0, ("domain0", "en", "src1"): 0.0}
+
+
+@pytest.mark.parametrize(("fraction", "epochs", "weights"), [(0.4, 1, {}), (1.3, 3, {}), (0.0, 1, {}), (1.0, 1, {}), (0.3, 1, UNEVEN), (0.9, 2, UNEVEN)])
+def test_mixture_takes_each_leafs_token_prefix(spark, docs, fraction, epochs, weights):
     counts = mixing.token_counts(docs).cache()
     data = counts.toPandas()
     leaves = {tuple(k): int(v) for k, v in data.groupby(list(mixing.LEVELS)).n_tokens.sum().items()}
-    want = mixing.budgets(leaves, int(fraction * sum(leaves.values())), {}, epochs)
-    got = mixing.mixture(docs, fraction, max_epochs=epochs).toPandas()
+    want = mixing.budgets(leaves, int(fraction * sum(leaves.values())), weights, epochs)
+    got = mixing.mixture(docs, fraction, weights, epochs).toPandas()
     assert len(got) == len(data)
     for leaf, part in got.groupby(list(mixing.LEVELS)):
-        taken = int((part.n_tokens * part.copies).sum())
+        assert part.tokens_taken.sum() == want[leaf]
+        split = part[(part.tokens_taken != part.copies * part.n_tokens)]
+        assert len(split) <= 1 and (split.tokens_taken - split.copies * split.n_tokens < split.n_tokens).all()
+        # in the order of the last epoch, what is taken whole comes first
         whole = want[leaf] // leaves[leaf] if leaves[leaf] else 0
         rest = counts.where((F.col("domain") == leaf[0]) & (F.col("lang") == leaf[1]) & (F.col("source") == leaf[2])).select("n_tokens", mixing.order_in(F.lit(int(whole)), F.col("base"), mixing.SEED).alias("place")).toPandas()
-        total, room = 0, want[leaf] - whole * leaves[leaf]
-        for _, group in rest.groupby("place", sort=True):
-            if total + group.n_tokens.sum() > room:
-                break
-            total += int(group.n_tokens.sum())
-        assert taken == whole * leaves[leaf] + total <= want[leaf]
-    chosen = mixing.select_mixture(docs, fraction, max_epochs=epochs)
-    assert chosen.count() == got.copies.sum() and chosen.columns == docs.columns
-    assert mixing.mixture(empty(spark), 0.5).count() == 0
+        left, taken = want[leaf] - whole * leaves[leaf], []
+        for n in rest.sort_values("place").n_tokens:
+            taken.append(whole * n + min(n, left))
+            left -= min(n, left)
+        assert sorted(taken) == sorted(part.tokens_taken)
+    chosen = mixing.select_mixture(docs, fraction, weights, epochs)
+    crossed = int((got.tokens_taken > got.copies * got.n_tokens).sum())
+    assert got.copies.sum() <= chosen.count() <= got.copies.sum() + crossed + int((got.n_tokens == 0).sum()) and chosen.columns == docs.columns
+    assert mixing.mixture(empty(spark), 0.5).count() == 0 and mixing.select_mixture(empty(spark), 0.5).count() == 0
+
+
+def test_nothing_of_weight_zero_is_drawn():
+    tokens_ = {("a", "en", "x"): 10, ("a", "en", "y"): 50, ("a", "fr", "z"): 30, ("b", "en", "x"): 100}
+    assert mixing.budgets(tokens_, 60, {("a", "en", "x"): 0.0, ("b",): 0.0}, 1) == {("a", "en", "x"): 0, ("a", "en", "y"): 30, ("a", "fr", "z"): 30, ("b", "en", "x"): 0}
+    assert sum(mixing.budgets(tokens_, 500, {("a",): 0.0}, 1).values()) == 100
+    assert mixing.budgets(tokens_, 80, {("a",): 3.0}, 1) == {("a", "en", "x"): 10, ("a", "en", "y"): 20, ("a", "fr", "z"): 30, ("b", "en", "x"): 20}
+    with pytest.raises(ValueError):
+        mixing.budgets(tokens_, 5, {("a",): -1.0}, 1)
 
 
 def labels(spark, rows):
