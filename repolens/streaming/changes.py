@@ -15,16 +15,22 @@ def read_feed(spark: SparkSession, folder: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _zoned(events: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a time with a zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events per key and window; a window ends for good when the watermark passes it, so its state is bounded
-    by how late events may be. Works on batches and streams alike."""
-    seen = events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"))
+    by how late events may be. Works on batches and streams alike; a time without a zone is read in the
+    session's."""
+    seen = _zoned(events, time).withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"))
     return seen.select(F.col("window.start").alias("window_start"), key, "n")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Runs of a key's events with less than ``gap`` between them."""
-    seen = events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
+    seen = _zoned(events, time).withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
     return seen.select(F.col("session_window.start").alias("session_start"), key, "n")
 
 

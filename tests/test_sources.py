@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from repolens.functions import extract_python, extract_text, names
@@ -76,10 +79,48 @@ def test_stream_refresh_equals_the_last_versions(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "snap/1")).collect())) == [(1, "z"), (3, "c")]
 
 
-def test_stream_windows_match_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("count", [changes.windowed_counts, changes.sessions])
+def test_stream_windows_match_the_batch(spark, tmp_path, count):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = changes.read_feed(spark, "/root/testdata/sf0.001/events.parquet", batch.schema)
-    out = changes.windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    feed = str(tmp_path / "feed")
+    batch.repartition(3).write.parquet(feed)
+    stream = changes.read_feed(spark, feed, batch.schema)
+    out = count(stream, "ts", "event_type").writeStream.format("memory").queryName(count.__name__).outputMode("complete").trigger(availableNow=True).start()
     out.awaitTermination()
-    want = changes.windowed_counts(batch, "ts", "event_type")
-    assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, want.collect()))
+    want = count(batch, "ts", "event_type")
+    assert sorted(map(tuple, spark.table(count.__name__).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scripts_by_tokens():
+    js = """import * as ns from 'ns';
+const A = () => 1;
+export function B(props: P): El { return (<div>Don't</div>); }
+export const C: FC<P> = async ({a, b}) => (
+  <Foo x={`a${b} const Z = () => 1`} />
+);
+const half = x => x / 2;
+export default function Main() { const inner = () => <p/>; return 1 / 2 / 3; }
+const lazy = import('./lazy'); const fs = require("fs");
+class K extends L { static async go(a): Promise<number> { if (a) { } return 1 } }
+"""
+    kinds = {s["name"]: s["kind"] for s in extract_text.js_symbols("w.ts", js)}
+    assert kinds == {"w": "module", "A": "function", "B": "component", "C": "component", "half": "function", "Main": "component", "K": "class", "go": "method"}
+    assert [(r["module"], r["dynamic"]) for r in extract_text.js_imports(js)] == [("ns", False), ("./lazy", True), ("fs", True)]
+    rust = "/* fn no() /* inner */ */ pub(crate) struct S<'a> { x: &'a str }\nfn t() { let c = '\\''; let s = r#\"fn z()\"#; }\nimpl S { pub async fn go(&self) {} }\nuse a::*;"
+    assert [(s["name"], s["visibility"]) for s in extract_text.rust_symbols("m.rs", rust)] == [("m", "public"), ("S", "public"), ("t", "private"), ("go", "public")]
+    assert [u["path"] for u in extract_text.rust_uses(rust)] == ["a::*"]
+    assert extract_text.django_urls("x = [path('a', include('b')), re_path(r'^c$', v.f)]\n") == [{"route": "^c$", "view": "v.f", "name": None}]
+    assert extract_text.django_urls("def (") == []
+
+
+def test_use_lists_take_time_in_proportion():
+    def seconds(n):
+        source = "".join(f"use a{i}::b::{{c, d}};\n" for i in range(n)) + "use a::{" + ",".join(f"n{i}" for i in range(n)) + "};"
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            assert len(extract_text.rust_uses(source)) == 3 * n
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(8000) < 8 * seconds(2000)
