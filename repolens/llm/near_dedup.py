@@ -34,30 +34,23 @@ CANDIDATE_BITS = 20
 BLOCK = 2_000
 #: Texts read to find common shingles, and how many of these are put last in the order; any order finds all links.
 RANKED_TEXTS, RANKED = 2_000, 20_000
-#: A set's mark has so many bits, each the parity of the shingles that fall on it.
-MARK_BITS = 1_024
+#: A set's mark has so many bits, each the parity of the shingles that fall on it; sets of more than
+#: ``PARITY_SHINGLES`` have counts instead, at least as many.
+MARK_BITS, PARITY_SHINGLES = 1_024, 2_000
+#: Words of the texts that one block of a cluster holds.
+BLOCK_WORDS = 1_500_000
 #: Shingles are dealt out in so many shares, one after another, so that one share's rows are on disk at a time.
 SHARES = 4
 #: Nodes of clusters that are sent to all tasks; more are joined.
 SENT_NODES = 200_000
+#: The root of a set that no cluster holds.
+ALONE = -(1 << 63)
 
 WORDS = ["f0", "f1", "f2"]
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def word_line(text: Column) -> Column:
-    """A-Z lower-cased, words separated by one space; null is empty."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
-
-
-def text_node(text: Column) -> Column:
-    """Texts of equal words are one node; a 64-bit hash names it."""
-    return F.xxhash64(word_line(text))
-
-
-def long_fingerprint(text: bytes) -> list[int]:
+def long_fingerprint(words: set[bytes]) -> list[int]:
     """Five 23-bit segments, two to a number, of the SimHash over distinct words; no words give zeros."""
-    words = set(text.lower().split())
     if not words:
         return [0, 0, 0]
     counts = bit_counts(b"".join([xxhash.xxh3_128_digest(w) for w in words]), 16)
@@ -112,10 +105,28 @@ def _set_of(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def near_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes of ``rows`` (node, text) whose shingle sets are similar."""
-    found = materialize(fingerprint_links(rows, block), "found")
-    return found.unionByName(prefix_links(rows, components(found), block))
+PRINT = "node long, words long, f0 long, f1 long, f2 long"
+
+
+def long_prints(rows: DataFrame) -> DataFrame:
+    """``node, words, f0, f1, f2`` of each row (node, text): how many words, and its fingerprint."""
+
+    def prints(batch: pa.RecordBatch) -> dict:
+        split = [t.lower().split() for t in utf8(batch.column("text"))]
+        got = [long_fingerprint(set(w)) for w in split]
+        return {"node": batch.column("node"), "words": [len(w) for w in split]} | {w: [g[k] for g in got] for k, w in enumerate(WORDS)}
+
+    return per_slice(rows.select("node", "text"), prints, PRINT)
+
+
+def near_links(rows: DataFrame, block: int = BLOCK, prints: DataFrame | None = None) -> DataFrame:
+    """Links ``(a, b)`` that connect all nodes of ``rows`` (node, text) whose shingle sets are similar; of rows of
+    one node one counts. ``prints``: a written table of ``long_prints``, where there is one."""
+    if not rows.groupBy("node").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["node"])
+    prints = materialize(long_prints(rows), "prints") if prints is None else prints
+    found = materialize(verified_links(rows, prints, components(golay_links(prints, WORDS, segments_of_115, CANDIDATE_BITS)), block), "found")
+    return found.unionByName(prefix_links(rows, prints, components(found), block))
 
 
 def enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -135,14 +146,34 @@ def prefix(shingles: np.ndarray, common: np.ndarray, count: np.ndarray, least: f
     return shingles[np.lexsort((shingles, seen))][: len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1]
 
 
-def parity_mark(shingles: np.ndarray) -> np.ndarray:
-    """Two sets differ in at least as many shingles as their marks do in bits."""
-    odd = np.bincount((shingles % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def mark_of(shingles: np.ndarray) -> np.ndarray:
+    """A small image of a set, from which ``apart`` tells how much two sets differ at least."""
+    if len(shingles) <= PARITY_SHINGLES:
+        odd = np.bincount((shingles % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    bins = MARK_BITS
+    while True:
+        counts = np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins)
+        if 4 * bins >= len(shingles) and counts.max() < 256:
+            return counts.astype(np.uint8).view(np.int64)
+        bins *= 2
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """No more than the number of shingles that only one of two marked sets has."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) == MARK_BITS // 64:
+        return int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum())
+    bins = MARK_BITS if len(x) == MARK_BITS // 64 else 8 * len(x)
+    counts = y.view(np.uint8).astype(np.int64).reshape(-1, bins).sum(axis=0)
+    if len(x) == MARK_BITS // 64:
+        return int((np.unpackbits(x.view(np.uint8)) != (counts & 1)).sum())
+    return int(np.abs(counts - x.view(np.uint8)).sum())
 
 
 def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key (``keys`` sorted) that no root but 0 joins yet and that could still be similar if
+    """Pairs of equal key (``keys`` sorted) that no root joins yet and that could still be similar if
     the key is the first shingle they share."""
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.append(begin, len(keys)))
@@ -150,7 +181,7 @@ def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
 
     def compare(at: np.ndarray, to: np.ndarray) -> None:
         rest = np.minimum(size[at] - place[at], size[to] - place[to])
-        hit = (node[at] != node[to]) & ((root[at] == 0) | (root[at] != root[to])) & enough(rest, size[at], size[to])
+        hit = (node[at] != node[to]) & ((root[at] == ALONE) | (root[at] != root[to])) & enough(rest, size[at], size[to])
         pairs.append(np.sort(np.stack([node[at[hit]], node[to[hit]]]), axis=0))
 
     end = np.repeat(begin + np.where(length > SHORT_RUN, 0, length), length)
@@ -164,7 +195,7 @@ def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
     for start, n in zip(begin[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist(), strict=True):
         run = np.arange(start, start + n)
         groups, members = np.unique(root[run], return_counts=True)
-        members[groups == 0] = 0
+        members[groups == ALONE] = 0
         largest = (root[run] == groups[members.argmax()]) & (members.max() > 0)
         others = run[~largest]
         run = np.concatenate([others, run[largest]])
@@ -174,9 +205,9 @@ def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
     return a, b
 
 
-def prefix_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+def prefix_links(rows: DataFrame, prints: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """All links ``(a, b)`` between similar nodes of ``rows`` that ``roots`` (node, root) doesn't join."""
-    total = rows.count()
+    total = prints.count()
     part = min(1.0, RANKED_TEXTS / max(total, 1))
     some = per_slice(rows.select("text").sample(part, seed=1), lambda batch: {"shingle": np.concatenate([_set_of(t) for t in utf8(batch.column("text"))]).view(np.int64)}, "shingle long")
     ranked = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(RANKED).collect()
@@ -188,12 +219,12 @@ def prefix_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataF
         sets = [_set_of(t) for t in utf8(batch.column("text"))]
         return {
             "node": batch.column("node"), "size": [len(s) for s in sets],
-            "keys": [prefix(s, common, count).view(np.int64) for s in sets], "mark": [parity_mark(s) for s in sets],
+            "keys": [prefix(s, common, count).view(np.int64) for s in sets], "mark": [mark_of(s) for s in sets],
         }
 
     schema = "key long, node long, root long, size long, place long"
     sets = per_slice(rows, first, "node long, size long, keys array<long>, mark array<long>")
-    sets = materialize(sets.join(roots, "node", "left").dropDuplicates(["node"]).withColumn("root", F.coalesce("root", F.lit(0).cast("long"))), "prefixes")
+    sets = materialize(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.lit(ALONE))), "prefixes")
 
     def spread(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """A row for each shingle of a prefix, of one share of all shingles."""
@@ -233,12 +264,12 @@ def prefix_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataF
             yield from out(held)
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose marks differ in no more bits than similar sets do in shingles."""
+        """Pairs whose marks differ no more than similar sets do."""
         for batch in batches:
             a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "size_a", "size_b"))
-            x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, MARK_BITS // 64) for c in ("mark_a", "mark_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = enough((m + n - apart) // 2, m, n)
+            (x, i), (y, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("mark_a"), batch.column("mark_b")))
+            differ = np.array([apart(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) for k in range(len(a))], np.int64)
+            keep = enough((m + n - differ) // 2, m, n)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     met = []
@@ -250,32 +281,22 @@ def prefix_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataF
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")), c)
     pairs = pairs.mapInArrow(allowed, "a long, b long")
-    return verified_links(rows, components(pairs), block)
+    return verified_links(rows, prints, components(pairs), block)
 
 
-def fingerprint_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` between similar nodes of ``rows`` (node, text) whose fingerprints are linked."""
-
-    def prints(batch: pa.RecordBatch) -> dict:
-        got = [long_fingerprint(t) for t in utf8(batch.column("text"))]
-        return {"node": batch.column("node")} | {w: [g[k] for g in got] for k, w in enumerate(WORDS)}
-
-    made = per_slice(rows, prints, "node long, f0 long, f1 long, f2 long")
-    distinct = materialize(made.groupBy("node").agg(*[F.min(w).alias(w) for w in WORDS]), "prints")
-    return verified_links(rows, components(golay_links(distinct, WORDS, segments_of_115, CANDIDATE_BITS)), block)
-
-
-def verified_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` between similar nodes of ``rows`` (node, text) within the clusters ``roots`` (node, root): see ``similar_links``."""
+def verified_links(rows: DataFrame, prints: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` between similar nodes of ``rows`` (node, text) within the clusters ``roots`` (node, root): see
+    ``similar_links``. A cluster has blocks enough that none holds many texts or many words."""
     roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "clusters")
-    size = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    needed = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("words") / F.lit(BLOCK_WORDS))
+    size = roots.join(prints.select("node", "words"), "node").groupBy("root").agg(F.ceil(needed).cast("int").alias("blocks"))
 
     def sets(batch: pa.RecordBatch) -> dict:
         return {"node": batch.column("node"), "root": batch.column("root"), "blocks": batch.column("blocks"), "shingles": [_set_of(t).view(np.int64) for t in utf8(batch.column("text"))]}
 
     placed = roots.join(size, "root")
     placed = F.broadcast(placed) if roots.count() <= SENT_NODES else placed
-    members = rows.join(placed, "node").dropDuplicates(["node"])
+    members = rows.join(placed, "node")
     members = per_slice(members.select("node", "root", "blocks", "text"), sets, "node long, root long, blocks int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.select("node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -307,21 +328,52 @@ def verified_links(rows: DataFrame, roots: DataFrame, block: int = BLOCK) -> Dat
     return dealt.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(verify, "a long, b long")
 
 
+def word_nodes(rows: DataFrame) -> DataFrame:
+    """``key, same, words, f0, f1, f2`` of each row (key, text); ``same`` names the sequence of its words, A-Z
+    lower-cased, by a 64-bit hash."""
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        split = [t.lower().split() for t in utf8(batch.column("text"))]
+        got = [long_fingerprint(set(w)) for w in split]
+        same = [xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63) for w in split]
+        return {"key": batch.column("key"), "same": same, "words": [len(w) for w in split]} | {w: [g[k] for g in got] for k, w in enumerate(WORDS)}
+
+    return per_slice(rows.select("key", "text"), fn, "key long, same long, words long, f0 long, f1 long, f2 long")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, less near copies: of each group of texts connected by a Jaccard
     similarity of 0.8 or more over five-word shingles, the row with the smallest doc_id stays.
 
     Texts of equal words are copies; those of fewer than five words are compared as a whole; empty and null
-    texts are one group. Null ids are larger than all others; of rows alike in id and words one stays.
+    texts are one group. Null ids are larger than all others; of rows alike in id and words one stays. An empty
+    table stays empty.
     """
-    rows = docs.select(text_node(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
-    roots = components(near_links(rows))
-    ids = docs.select(text_node(F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"))
-    known = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"))
-    known = materialize(known.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")), "near")
-    groups = known.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("size")).where("size > 1")
-    owners = known.join(groups, "root").select("node", F.col("keep.doc_id").alias("keep_id"), F.col("keep.node").alias("keep_node"), F.lit(True).alias("grouped"))
-    return keep_owners(docs, text_node(F.col("text")), materialize(owners, "owners"))
+    own_id = F.col("doc_id").cast("long")
+    ids = docs.groupBy(own_id.alias("id")).count()
+    key = "doc_id" if docs.schema["doc_id"].dataType.typeName() == "long" else None
+    if key is None or not ids.where("count > 1 or id is null").isEmpty():
+        # ids that don't name rows: numbers that do are written down with the rows
+        key = "row_number"
+        while key in docs.columns:
+            key += "_"
+        docs = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    keyed = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    prints = materialize(word_nodes(keyed), "prints")
+    order = F.struct(own_id.isNull().alias("null"), own_id.alias("id"), F.col(key).alias("key"))
+    placed = prints.join(docs.select(F.col(key).alias("key"), order.alias("order")), "key") if key != "doc_id" else prints.withColumn("order", F.struct(F.lit(False).alias("null"), F.col("key").alias("id"), "key"))
+    first = placed.groupBy("same").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.select("same", "first", "n", F.col("first.key").alias("node")), "first")
+    others = prints.join(first.where("n > 1").select("same", "node"), "same").where("key <> node").select("key")
+    rows = keyed.join(others, "key", "left_anti").select(F.col("key").alias("node"), "text")
+    kept = prints.join(first.select("same", "node"), "same").where("key = node").select("node", "words", *WORDS)
+    roots = components(near_links(rows, prints=materialize(kept, "kept")))
+    groups = first.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
+    best = groups.groupBy("root").agg(F.min("first").alias("keep"))
+    stays = materialize(groups.join(best, "root").select("same", F.col("keep.key").alias("keep")), "stays")
+    gone = materialize(prints.join(stays, "same").where("key <> keep").select(F.col("key").alias(key)), "gone")
+    left = docs.join(gone, key, "left_anti")
+    return left if key == "doc_id" else left.drop(key)
 
 
 def keep_owners(docs: DataFrame, key: Column, owners: DataFrame) -> DataFrame:

@@ -389,17 +389,17 @@ def test_cut_extended_and_filled_copies_against_brute_force(spark):
     rows = [(i, " ".join(t)) for i, t in rows]
     frame = table(spark, rows)
     sets = [set(simhash.shingle_hashes(as_bytes(t), 5).tolist()) for _, t in rows]
-    nodes = [r["node"] for r in frame.orderBy("doc_id").select(near_dedup.text_node(F.col("text")).alias("node")).collect()]
+    nodes = [i for i, _ in rows]
     alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(alike) >= 180
     want = simhash.forest(*np.array([[nodes[i], nodes[j]] for i, j in alike], np.int64).T)
     for block in (20, 2000):
-        links = near_dedup.near_links(frame.select(near_dedup.text_node(F.col("text")).alias("node"), "text"), block).collect()
+        links = near_dedup.near_links(frame.select(F.col("doc_id").alias("node"), "text"), block).collect()
         got = simhash.forest(*np.array([tuple(r) for r in links], np.int64).T)
         assert sorted(zip(*got)) == sorted(zip(*want))
 
 
-def test_blocks_find_what_one_task_finds(spark):
+def test_blocks_find_what_one_task_finds(spark, monkeypatch):
     rng = random.Random(5)
     base = words(rng, 120, 5000).split()
     rows = []
@@ -407,13 +407,29 @@ def test_blocks_find_what_one_task_finds(spark):
         copy = list(base)
         copy[rng.randrange(120)] = f"z{k}"
         rows.append((k, " ".join(copy)))
-    frame = table(spark, rows).select(near_dedup.text_node(F.col("text")).alias("node"), "text")
-    for block in (4, 2000):
+    frame = table(spark, rows).select(F.col("doc_id").alias("node"), "text")
+    for block, block_words in ((4, 1_500_000), (2000, 500), (2000, 1_500_000)):
+        monkeypatch.setattr(near_dedup, "BLOCK_WORDS", block_words)
         links = [tuple(r) for r in near_dedup.near_links(frame, block).collect()]
         a, b = simhash.forest(*np.array(links, np.int64).T)
         assert len(a) == 24
 
 
+def test_marks_never_say_too_much():
+    """Sets of any sizes differ at least as much as their marks say, and unlike ones are told apart."""
+    rng = np.random.default_rng(3)
+    for n, m, both in [(0, 5, 0), (300, 310, 290), (1900, 2100, 1800), (2100, 2300, 0), (9000, 8000, 7900), (40_000, 45_000, 0), (70_000, 70_000, 69_000), (1500, 90_000, 1000)]:
+        pool = rng.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        x, y = np.sort(pool[:n]), np.sort(pool[n - both :])
+        least = near_dedup.apart(near_dedup.mark_of(x), near_dedup.mark_of(y))
+        assert least <= n + m - 2 * both
+        assert least == near_dedup.apart(near_dedup.mark_of(y), near_dedup.mark_of(x))
+        if not both and n > 100:
+            assert not near_dedup.enough((n + m - least) // 2, n, m)
+    same = rng.integers(0, 1 << 52, 30_000).astype(np.uint64) * np.uint64(1024)  # all in one of few bins
+    assert near_dedup.apart(near_dedup.mark_of(same), near_dedup.mark_of(same[1:])) <= 1
+
+
 def test_budgets_fill_siblings_before_ancestors():
     tokens_ = {("d", "en", "a"): 10, ("d", "en", "b"): 100, ("d", "fr", "c"): 100, ("e", "en", "d"): 1000}
     got = mixing.budgets(tokens_, 400, {}, 1)
