@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,12 @@ from .common import arrow_schema, crc_of_id, documents, id_and_text, materialize
 FOLDS = 5
 #: Labelled rows of either kind that a fit reads at most, and terms that a lexicon holds at most.
 FIT_TOXIC, FIT_CLEAN = 6_000, 14_000
-MAX_TERMS = 500
-STEM_SIZES = (4, 5, 6)
+MAX_TERMS = 2_000
+STEM_SIZES = (4, 5, 6, 7)
 WINDOW = 6
-#: Highest probability that chance alone makes a word look toxic.
-CHANCE = 5e-5
+#: Highest probability that chance alone makes a word look toxic, and that it makes a repeated stem do so, of
+#: which there are far fewer.
+CHANCE, STEM_CHANCE = 5e-5, 1e-3
 
 #: A word: letters and digits, stand-in signs only before or between them.
 WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!*]+[^\W_]+)*")
@@ -116,21 +118,24 @@ class _Known(dict):
 
 @dataclass
 class Lexicon:
-    """Whole terms and stems. With at most one error a term's first or second half stands unchanged at its end
+    """Whole terms, stems (which mean nothing without an ending), and terms that a stem covers: these are for the
+    automaton alone. With at most one error a term's first or second half stands unchanged at its end
     of the word, with at most two one of its thirds near its place, but for swaps across a border, for which
     the piece with its last or first letter swapped is kept too; words without any such piece never reach the
     automaton."""
 
     terms: list[str]
     stems: list[str]
+    inflected: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        self.trie = Trie(self.terms)
+        spelled = [*self.terms, *self.inflected]
+        self.trie = Trie(spelled)
         self.exact, self.prefix = frozenset(self.terms), frozenset(self.stems)
         heads: set[str] = set()
         tails: set[str] = set()
         middles: set[str] = set()
-        for t in self.terms:
+        for t in spelled:
             k, n = allowed(len(t)), len(t)
             if k:
                 low, high = (n // 2, n // 2) if k == 1 else (n // 3, n - n // 3)
@@ -140,7 +145,7 @@ class Lexicon:
                     middles.add(t[low:high])
         self.heads, self.tails, self.middles = frozenset(heads), frozenset(tails), sorted(middles)
         self.head_sizes, self.tail_sizes = sorted({len(h) for h in heads}), sorted({len(h) for h in tails})
-        self.longest = max((len(t) + allowed(len(t)) for t in self.terms), default=0)
+        self.longest = max((len(t) + allowed(len(t)) for t in spelled), default=0)
 
     def _worth(self, word: str) -> bool:
         if not 4 <= len(word) <= self.longest:
@@ -160,7 +165,7 @@ class Lexicon:
         if word in self.exact:
             return 1
         for k in STEM_SIZES:
-            if word[:k] in self.prefix:
+            if len(word) > k and word[:k] in self.prefix:
                 return 2
         return 0
 
@@ -202,9 +207,13 @@ _ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB
 
 
 def measure(text: str | None, known: _Known) -> list[float]:
-    """Logarithms of how many terms, stems, misspelled terms, quoted and addressed hits, and hits at all."""
+    """Logarithms of how many terms, stems, misspelled terms, quoted and addressed hits, and hits at all. One
+    word with a stem may be chance: of those only what goes beyond the first counts."""
     got = hits(text, known) if text else []
+    if sum(h[1] == 2 for h in got) == 1:
+        got = [h for h in got if h[1] != 2]
     counts = [sum(h[1] == k for h in got if not h[3]) for k in (1, 2, 3)]
+    counts[1] = max(0, counts[1] - 1)
     counts += [sum(h[3] for h in got), sum(h[4] and not h[3] for h in got), len(got)]
     return np.log1p(counts).tolist()
 
@@ -244,8 +253,10 @@ def _smallest(text: str) -> list[int]:
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, most_clean: float = 0.02) -> Lexicon:
-    """Terms and stems that toxic rows of ``sample`` (text, toxic) use and clean ones hardly ever do: in at
-    least two toxic texts, and at a rate among clean texts of at most ``most_clean`` of that among toxic ones."""
+    """Terms that toxic rows of ``sample`` (text, toxic) use, and stems that they use with endings at least
+    twice in a text, and clean ones hardly ever do: at a rate among clean texts of at most ``most_clean`` of that
+    among toxic ones, and in so many toxic texts (three or more) that chance, given the share of toxic texts in
+    the sample, gives that with a probability of ``CHANCE`` or ``STEM_CHANCE`` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, bool], list[int]] = {}
@@ -260,8 +271,13 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, most_clean: flo
 
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = {*WORD.findall((text or "").lower())}
-                names = {(w, False) for w in words if 3 <= len(w) <= 40} | {(w[:k], True) for w in words for k in STEM_SIZES if len(w) > k}
+                words = Counter(WORD.findall((text or "").lower()))
+                stems: Counter[str] = Counter()
+                for w, n in words.items():
+                    for k in STEM_SIZES:
+                        if len(w) > k:
+                            stems[w[:k]] += n
+                names = [(w, False) for w in words if 3 <= len(w) <= 40] + [(w, True) for w, n in stems.items() if n > 1]
                 for name in names:
                     sums.setdefault(name, [0, 0])[toxic] += 1
                 if len(sums) > 200_000:
@@ -284,8 +300,8 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, most_clean: flo
     ratio = n.get(1, 0) / max(1, n.get(0, 0))
     counts = sample.select("text", "toxic").mapInArrow(count, "term string, stem boolean, n_toxic long, n_clean long").groupBy("term", "stem").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c"))
     share = n.get(1, 0) / max(1, sum(n.values()))
-    least = max(3, math.ceil(math.log(CHANCE) / math.log(share))) if 0 < share < 1 else 3
-    worth = counts.where((F.col("t") >= least) & (F.col("c") * ratio <= most_clean * F.col("t")))
+    least, least_stem = (max(3, math.ceil(math.log(p) / math.log(share))) if 0 < share < 1 else 3 for p in (CHANCE, STEM_CHANCE))
+    worth = counts.where((F.col("t") >= F.when(F.col("stem"), least_stem).otherwise(least)) & (F.col("c") * ratio <= most_clean * F.col("t")))
     best = worth.orderBy(F.desc("t"), "term", "stem").limit(max_terms).collect()  # at most max_terms rows
     support = {(r["term"], r["stem"]): r["t"] for r in best}
     by_term = {t: k for (t, stem), k in support.items() if not stem}
@@ -293,12 +309,14 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, most_clean: flo
     for t, k in by_term.items():
         for n_letters in STEM_SIZES:
             alone[t[:n_letters]] = max(alone.get(t[:n_letters], 0), k)
-    # a stem says more than its terms only where it is in many more texts than any one of them
-    many = {t for (t, stem), k in support.items() if stem and k >= 1.5 * alone.get(t, 0)}
-    stems = sorted(t for t in many if not any(t[:k] in many for k in STEM_SIZES if k < len(t)))
+    # a stem says more than its terms only where it is in many more texts than any one of them; of stems within
+    # each other the longest that loses few texts
+    many = {t: k for (t, stem), k in support.items() if stem and k >= 1.5 * alone.get(t, 0)}
+    stems = sorted(t for t, k in many.items() if not any(u != t and u.startswith(t) and n >= 0.9 * k for u, n in many.items()))
+    stems = [t for t in stems if not any(t[:k] in stems for k in STEM_SIZES if k < len(t))]
     covered = frozenset(stems)
-    terms = sorted(t for t in by_term if not any(t[:k] in covered for k in STEM_SIZES))
-    return Lexicon(terms, stems)
+    inflected = {t for t in by_term if any(len(t) > k and t[:k] in covered for k in STEM_SIZES)}
+    return Lexicon(sorted(by_term.keys() - inflected), stems, tuple(sorted(inflected)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_rows: int = FIT_CLEAN) -> ToxicModel:
