@@ -104,8 +104,12 @@ class Anchors:
         self.right = _mix(span(at + ANCHOR, b) + (b - at).astype(np.uint64) * two)
 
 
-#: One anchor on its way to its bucket: 24 bytes before compression.
-RECORD = np.dtype([("h", "<u4"), ("h2", "<u2"), ("context", "<u4"), ("context2", "u1"), ("left", "<u2"), ("right", "<u2"), ("at", "<u4"), ("id", "<i8"), ("tag", "<u4")])
+#: An anchor that more contexts than this ask bytes for is dealt out by the halves of its contexts.
+SPLIT = 4_096
+
+#: One anchor on its way to its bucket. ``h`` only brings like anchors together; the context's hash, over the
+#: anchor and all around it, has 64 bits.
+RECORD = np.dtype([("h", "<u4"), ("context", "<u8"), ("left", "<u2"), ("right", "<u2"), ("at", "<u4"), ("id", "<i8"), ("tag", "<u4")])
 
 
 def _columns(records: np.ndarray) -> bytes:
@@ -157,8 +161,7 @@ def _anchor_rows(buckets: int):
             records = np.zeros(len(found.at), RECORD)
             bucket = (found.h % np.uint64(buckets)).astype(np.int64)
             rest = found.h // np.uint64(buckets)
-            records["h"], records["h2"] = rest & np.uint64(0xFFFFFFFF), (rest >> np.uint64(32)) & np.uint64(0xFFFF)
-            records["context"], records["context2"] = found.context & np.uint64(0xFFFFFFFF), (found.context >> np.uint64(32)) & np.uint64(0xFF)
+            records["h"], records["context"] = rest & np.uint64(0xFFFFFFFF), found.context
             records["left"], records["right"] = found.left & np.uint64(0xFFFF), found.right & np.uint64(0xFFFF)
             records["at"] = found.at
             records["id"], records["tag"] = batch.column("id").to_numpy()[found.doc], batch.column("tag").to_numpy()[found.doc].astype(np.int64) & 0xFFFFFFFF
@@ -186,31 +189,50 @@ def _anchor_rows(buckets: int):
     return run
 
 
-def _judge(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket's anchors: the records in order, which are repeats as a whole, and which need bytes."""
-    h = records["h"].astype(np.uint64) | records["h2"].astype(np.uint64) << np.uint64(32)
-    context = records["context"].astype(np.uint64) | records["context2"].astype(np.uint64) << np.uint64(32)
-    order = np.lexsort((records["id"], context, h))
-    records, h, context = records[order], h[order], context[order]
+def _judge(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket's anchors: the records in order, which are repeats as a whole, and which need bytes as
+    another context of their anchor agrees on the left half, or on the right one."""
+    order = np.lexsort((records["id"], records["context"], records["h"]))
+    records = records[order]
+    h, context = records["h"].astype(np.uint64), records["context"]
     if not len(records):
-        return records, np.zeros(0, bool), np.zeros(0, bool)
+        none = np.zeros(0, bool)
+        return records, none, none, none
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     known = records["id"] > records["id"][first][group]
-    needed = np.zeros(len(first), bool)
+    needed = []
     for side in ("left", "right"):
-        # contexts of one anchor that agree on a half may share 50 bytes
-        key = h[first] * np.uint64(0x9E3779B97F4A7C15) + records[side][first]
+        # contexts of one anchor that share 50 bytes agree on a half
+        key = h[first] << np.uint64(16) | records[side][first]
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
-        needed[by[1:][same]] = True
-        needed[by[:-1][same]] = True
-    return records, known, needed[group] & ~known
-
-
-def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = np.zeros(len(first), bool)
+        alike[by[1:][same]] = True
+        alike[by[:-1][same]] = True
+        needed.append(alike[group] & ~known)
+    return records, known, *needed
+
+
+def _asked(records: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: int, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Records whose bytes are needed, with the key under which their contexts meet: the anchor's, or, of an
+    anchor with more than ``split`` of them, one for each half that another context has too."""
+    some = left | right
+    key = records["h"].astype(np.int64) | bucket << 32
+    _, code, count = np.unique(key[some], return_inverse=True, return_counts=True)
+    hot = np.zeros(len(records), bool)
+    hot[some] = count[code] > split
+    plain = some & ~hot
+    yield records[plain], key[plain]
+    for number, (side, need) in enumerate((("left", left), ("right", right))):
+        mask = need & hot
+        mixed = _mix((key[mask].astype(np.uint64) << np.uint64(17)) ^ (records[side][mask].astype(np.uint64) << np.uint64(1)) ^ np.uint64(number))
+        yield records[mask], mixed.view(np.int64)
+
+
+def _replies(split: int):
     """Bucket by bucket (rows come sorted): anchors whose surroundings are repeats (null ``h``), and those whose
     bytes are needed."""
     schema = arrow_schema(REPLY)
@@ -221,25 +243,28 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part["id"]), pa.array(np.ascontiguousarray(part["tag"]).view(np.int32)), pa.array(part["at"].astype(np.int32)), h.slice(a, len(part))], schema=schema)
 
     def out(bucket: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        records, known, needed = _judge(np.concatenate([_records(d) for d in held]))
+        records, known, left, right = _judge(np.concatenate([_records(d) for d in held]))
         yield from reply(records[known], pa.nulls(int(known.sum()), pa.int64()))
-        some = records[needed]
-        yield from reply(some, pa.array((some["h"].astype(np.int64) | some["h2"].astype(np.int64) << 32) ^ (bucket << 48)))
+        for some, key in _asked(records, left, right, bucket, split):
+            yield from reply(some, pa.array(key))
 
-    now, held = -1, []
-    for batch in batches:
-        for bucket, known, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "data")), strict=True):
-            if known:
-                records = _records(data)
-                yield from reply(records, pa.nulls(len(records), pa.int64()))
-                continue
-            if bucket != now and held:
-                yield from out(now, held)
-                held = []
-            now = bucket
-            held.append(data)
-    if held:
-        yield from out(now, held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            for bucket, known, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "data")), strict=True):
+                if known:
+                    records = _records(data)
+                    yield from reply(records, pa.nulls(len(records), pa.int64()))
+                    continue
+                if bucket != now and held:
+                    yield from out(now, held)
+                    held = []
+                now = bucket
+                held.append(data)
+        if held:
+            yield from out(now, held)
+
+    return run
 
 
 CONTEXT = "h long, id long, tag int, start int, body binary"
@@ -331,18 +356,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row: each byte within a 50-byte string
     that also starts in a document with a smaller id is removed, judged on the input.
 
     Null text is empty. Null ids are larger than all others and never smaller than each other; so are rows of
-    one id. Texts under 50 bytes stay whole. An empty table gives no rows; other columns are not read.
+    one id. Texts under 50 bytes stay whole. An empty table gives no rows; other columns are not read. An anchor
+    with more than ``split`` contexts to compare is dealt out by their halves, with the same result.
     """
     spark = docs.sparkSession
     rows = _keyed(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // BUCKET_BYTES))
     anchors = rows.select("id", "tag", "text").mapInArrow(_anchor_rows(buckets), "bucket int, known boolean, data binary")
-    replies = materialize(anchors.repartition(buckets, "bucket", "known").sortWithinPartitions("known", "bucket").mapInArrow(_replies, REPLY), "replies")
+    replies = materialize(anchors.repartition(buckets, "bucket", "known").sortWithinPartitions("known", "bucket").mapInArrow(_replies(split), REPLY), "replies")
     _free_shuffles(spark)
     asked = replies.where("h is not null").groupBy("id", "tag").agg(F.collect_list(F.struct("at", "h")).alias("asked"))
     contexts = rows.select("id", "tag", "text").join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(_contexts, CONTEXT)

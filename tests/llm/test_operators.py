@@ -329,6 +329,20 @@ def test_repeats_are_removed_exactly(spark, docs, rows):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("split", [2, 40, substring_dedup.SPLIT])
+def test_one_anchor_in_many_contexts(spark, split):
+    """A line of many texts, with sides that some of them share: dealt by halves or not, the result is the same."""
+    rng = random.Random(8)
+    sides = ["".join(rng.choice("abcdefgh ") for _ in range(45)) for _ in range(14)]
+    line = "= the line that all texts have ="
+    rows = []
+    for i in range(150):
+        left, right = (rng.choice(sides) if rng.random() < 0.7 else "".join(rng.choice("ijklmnop ") for _ in range(45)) for _ in range(2))
+        rows.append((rng.randrange(120), left[rng.randrange(30) :] + line + right[: rng.randrange(16, 45)]))
+    got = substring_dedup.remove_repeats(table(spark, rows).repartition(3), split).collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == slow_removed(rows)
+
+
 def test_maximal_repeats_against_all_substrings():
     rng = random.Random(6)
     for _ in range(60):
