@@ -37,7 +37,7 @@ def newest_sql(n: int = NEWEST) -> str:
 # History
 
 
-@query(with_views("changes") + " SELECT path, CAST(least(count(*), 100) AS BIGINT) AS change_count, strftime(max(committed_at), '%Y-%m-%d') AS last_changed FROM changes GROUP BY path")
+@query(with_views("changes") + " SELECT path, CAST(least(count(*), 100) AS BIGINT) AS change_count, strftime(arg_max(committed_at, commit_id), '%Y-%m-%d') AS last_changed FROM changes GROUP BY path")
 def change_history(t: Tables) -> DataFrame:
     return history.change_history(t.changes())
 
@@ -115,11 +115,12 @@ def json_metadata_filter(t: Tables) -> DataFrame:
     return t.events.where((k > 50) & ~F.coalesce("event_type", F.lit("")).isin("error")).select("event_id", k.alias("k"))
 
 
-@query("SELECT event_id, to_json(json_merge_patch(props, '{\"seen\": \"1\"}')) LIKE '%seen%' AS has_seen, CAST(len(json_keys(props)) + 1 AS INTEGER) AS n_set, CAST(len([x for x in json_keys(props) if x <> 'k']) AS INTEGER) AS n_removed FROM events")
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"seen\":\"1\"}' AS with_seen, '{\"seen\":\"1\"}' AS without_k FROM events")
 def json_set_remove(t: Tables) -> DataFrame:
-    meta = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    with_seen = F.map_concat(F.map_filter(meta, lambda k, v: k != "seen"), F.create_map(F.lit("seen"), F.lit("1")))
-    return t.events.select("event_id", F.map_contains_key(with_seen, "seen").alias("has_seen"), F.size(with_seen).alias("n_set"), F.size(F.map_filter(meta, lambda k, v: k != "k")).alias("n_removed"))
+    """Objects with a key set, and with another removed, as canonical text."""
+    meta = F.parse_json(F.coalesce("props", F.lit("{}")))
+    k = F.variant_get(meta, "$.k", "long")
+    return t.events.select("event_id", F.to_json(F.struct(k.alias("k"), F.lit("1").alias("seen"))).alias("with_seen"), F.to_json(F.struct(F.when(F.lit(False), k).alias("k"), F.lit("1").alias("seen"))).alias("without_k"))
 
 
 # Edges
@@ -198,7 +199,11 @@ def cycle_members(t: Tables) -> DataFrame:
     return cycles.components(t.calls()).select("node")
 
 
-@query(with_views("calls", recursive=True) + ", walk AS (SELECT src AS origin, dst AS here, 1 AS length FROM calls UNION SELECT w.origin, c.dst, w.length + 1 FROM walk w JOIN calls c ON c.src = w.here WHERE w.length < 40 AND w.here <> w.origin) SELECT origin AS node, CAST(min(length) AS INTEGER) AS length FROM walk WHERE origin = here GROUP BY origin")
+#: Breadth first from each node at once: a key (origin, here) is set when it is first seen.
+WALK = "walk(origin, here, length) USING KEY (origin, here) AS (SELECT src, dst, 1 FROM calls UNION SELECT w.origin, c.dst, min(w.length) + 1 FROM walk w JOIN calls c ON c.src = w.here LEFT JOIN recurring.walk r ON r.origin = w.origin AND r.here = c.dst WHERE r.origin IS NULL GROUP BY w.origin, c.dst)"
+
+
+@query(with_views("calls", recursive=True) + f", {WALK} SELECT origin AS node, CAST(length AS INTEGER) AS length FROM walk WHERE origin = here")
 def shortest_cycle_length(t: Tables) -> DataFrame:
     calls = cycles.settled(t.calls())
     return cycles.shortest_cycles(calls, cycles.components(calls))
@@ -211,7 +216,7 @@ SYMBOL_SQL = "SELECT qualified_name AS target, 'large_symbol' AS signal, 'medium
 CHURN_SQL = "SELECT path AS target, 'high_churn' AS signal, 'medium' AS severity, 'high' AS confidence, least(count(*), 100) || ' changes > 20' AS evidence FROM changes GROUP BY path HAVING least(count(*), 100) > 20"
 COUPLING_SQL = "SELECT path AS target, 'high_temporal_coupling' AS signal, 'medium' AS severity, 'high' AS confidence, coupled_file_count || ' files > 5' AS evidence FROM coupled WHERE coupled_file_count > 5"
 PATHS_SQL = "SELECT path AS target, 'explicit_legacy_path' AS signal, 'high' AS severity, 'high' AS confidence, CASE WHEN starts_with(path, 'src1') THEN 'under src1' ELSE 'under src2/' END AS evidence FROM files WHERE starts_with(path, 'src1') OR starts_with(path, 'src2/')"
-WEAK_SQL = "SELECT path AS target, 'weak_test_relationship' AS signal, CASE WHEN n IS NULL THEN 'high' ELSE 'medium' END AS severity, CASE WHEN n IS NULL THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN n IS NULL THEN 'none' ELSE 'weak' END AS evidence FROM files LEFT JOIN (SELECT target, count(*) AS n, bool_or(confidence = 'high') AS strong FROM tests GROUP BY target) ON target = path WHERE n IS NULL OR NOT strong"
+WEAK_SQL = "SELECT path AS target, 'weak_test_relationship' AS signal, CASE WHEN NOT known THEN 'medium' WHEN n IS NULL THEN 'high' ELSE 'medium' END AS severity, CASE WHEN NOT known THEN 'unknown' WHEN n IS NULL THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN NOT known THEN 'unknown' WHEN n IS NULL THEN 'none' ELSE 'weak' END AS evidence FROM (SELECT path, coalesce(analysis_status, '') <> 'file_failed' AS known FROM files) LEFT JOIN (SELECT target, count(*) AS n, bool_or(confidence = 'high') AS strong FROM tests GROUP BY target) ON target = path WHERE NOT known OR n IS NULL OR NOT strong"
 
 
 @query(with_views("files") + " " + FILE_SQL)
@@ -241,7 +246,8 @@ def legacy_paths(t: Tables) -> DataFrame:
 
 @query(with_views("tests") + " " + WEAK_SQL)
 def weak_test_relationship(t: Tables) -> DataFrame:
-    return rules.weak_tests(t.files().withColumn("analyzed", F.lit(True)), t.tests())
+    """A file whose analysis failed has tests or not: that is not known."""
+    return rules.weak_tests(t.files().withColumn("analyzed", F.coalesce("analysis_status", F.lit("")) != "file_failed"), t.tests())
 
 
 FAN_SQL = "SELECT CAST(node AS VARCHAR) AS target, 'high_fan_in' AS signal, 'medium' AS severity, 'high' AS confidence, fan_in || ' dependents > 1' AS evidence FROM degrees WHERE fan_in > 1 UNION ALL SELECT CAST(node AS VARCHAR), 'high_fan_out', 'medium', 'high', fan_out || ' dependencies > 1' FROM degrees WHERE fan_out > 1"
@@ -260,15 +266,20 @@ def legacy_circular_dependency(t: Tables) -> DataFrame:
     return rules.cycle_signals(members, cycles.shortest_cycles(calls, members))
 
 
-ORACLE["legacy_circular_dependency"] = ORACLE["shortest_cycle_length"].replace("SELECT origin AS node, CAST(min(length) AS INTEGER) AS length FROM", "SELECT CAST(origin AS VARCHAR) AS target, 'circular_dependency' AS signal, 'high' AS severity, 'high' AS confidence, 'cycle of ' || min(length) AS evidence FROM")
-ALL_SQL = with_views("files", "symbols", "changes", "tests") + f", {COUPLED}, signals AS ({FILE_SQL} UNION ALL {SYMBOL_SQL} UNION ALL {CHURN_SQL} UNION ALL {COUPLING_SQL} UNION ALL {PATHS_SQL} UNION ALL {WEAK_SQL})"
+CYCLE_SQL = "SELECT CAST(origin AS VARCHAR) AS target, 'circular_dependency' AS signal, 'high' AS severity, 'high' AS confidence, 'cycle of ' || length AS evidence FROM walk WHERE origin = here"
+ORACLE["legacy_circular_dependency"] = with_views("calls", recursive=True) + f", {WALK} {CYCLE_SQL}"
+#: Rules in the order in which they run.
+RULES_SQL = [FILE_SQL, SYMBOL_SQL, PATHS_SQL, FAN_SQL, CYCLE_SQL, CHURN_SQL, COUPLING_SQL, WEAK_SQL]
+ALL_SQL = with_views("files", "symbols", "changes", "tests", "calls", recursive=True) + f", {COUPLED}, {DEGREES}, {WALK}, signals AS (" + " UNION ALL ".join(f"SELECT *, {k} AS signal_order FROM ({q})" for k, q in enumerate(RULES_SQL)) + ")"
 
 
 @query(ALL_SQL + " SELECT * FROM signals")
 def legacy_signals_all(t: Tables) -> DataFrame:
-    found = legacy_large_file(t)
-    for rule in (legacy_large_symbol, legacy_churn, legacy_coupling, legacy_paths, weak_test_relationship):
-        found = found.unionByName(rule(t))
+    """All rules in their order: structure, fans, cycles, churn, coupling, tests."""
+    found = None
+    for order, rule in enumerate((legacy_large_file, legacy_large_symbol, legacy_paths, legacy_fan, legacy_circular_dependency, legacy_churn, legacy_coupling, weak_test_relationship)):
+        rows = rule(t).withColumn("signal_order", F.lit(order))
+        found = rows if found is None else found.unionByName(rows)
     return found
 
 
@@ -368,9 +379,10 @@ def lead_interval_ends(t: Tables) -> DataFrame:
     return ends.withColumn("end", F.coalesce("end", F.lit(-1)))
 
 
-@query("SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name")
+@query("SELECT p_name, arg_min(p_type, p_partkey) AS p_type, min(p_partkey) AS p_partkey FROM part GROUP BY p_name")
 def last_definition_wins(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_name").agg(F.max_by("p_partkey", "p_partkey").alias("p_partkey"))
+    """Definitions are read by falling id and each overwrites its name's: the lowest id wins."""
+    return t.part.groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("p_type"), F.min("p_partkey").alias("p_partkey"))
 
 
 @query("WITH marked AS (SELECT l_orderkey % 50 AS a, l_partkey % 50 AS b, 'high' AS c FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT l_orderkey % 50, l_partkey % 50, 'low' FROM lineitem) SELECT a, b, min(c) AS confidence FROM marked GROUP BY a, b")
@@ -567,11 +579,11 @@ def source_slice(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.slice(lines, 1, 3), "\n").alias("head"), (F.size(lines) > 3).alias("truncated"), F.size(lines).alias("total"))
 
 
-@query(with_views("symbols") + " SELECT language, kind, string_agg(symbol_id || ':' || end_line, ', ' ORDER BY end_line, symbol_id) AS members FROM symbols WHERE symbol_id < 500 GROUP BY language, kind")
+@query(with_views("symbols") + " SELECT language, kind, string_agg(symbol_id || ':' || end_line, ', ' ORDER BY end_line, symbol_id) AS members FROM symbols GROUP BY language, kind")
 def grouped_outline(t: Tables) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("end_line", "symbol_id")))
     text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["symbol_id"], x["end_line"])), ", ")
-    return t.symbols().where("symbol_id < 500").groupBy("language", "kind").agg(text.alias("members"))
+    return t.symbols().groupBy("language", "kind").agg(text.alias("members"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 EXCEPT SELECT doc_id FROM labels")

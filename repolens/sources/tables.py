@@ -39,10 +39,12 @@ class Tables:
         return docs.join(marks, "doc_id", "left")
 
     def raw_calls(self) -> DataFrame:
-        """Consecutive parts within an order, repeats and self-edges included."""
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        rows = self.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-        return rows.where("dst is not null")
+        """The first part of each order and that of its customer's next order, repeats and self-edges included."""
+        place = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+        first = self.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by("l_partkey", place).alias("src"))
+        order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+        rows = self.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(first, "o_orderkey")
+        return rows.select("src", F.lead("src").over(order).alias("dst")).where("dst is not null")
 
     def calls(self) -> DataFrame:
         return self.raw_calls().where("src <> dst").distinct()
@@ -77,7 +79,7 @@ VIEWS = {
     "changes": "SELECT DISTINCT l.l_orderkey AS commit_id, o.o_orderdate AS committed_at, 'part/' || l.l_partkey AS path FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey",
     "symbols": "SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '.' || p_type || '.' || p_partkey AS qualified_name, lower(p_type) AS kind, p_brand AS language, 1 AS start_line, p_size AS end_line FROM part",
     "files": "SELECT d.doc_id, d.source || '/' || d.lang || '/doc_' || d.doc_id AS path, d.lang AS language, d.source, CAST(octet_length(encode(d.text)) AS BIGINT) AS size, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS line_count, CAST(len([w for w in regexp_split_to_array(d.text, '[ \\n\\t]+') if w <> '']) AS BIGINT) AS token_count, CASE WHEN l.toxic IS NULL THEN NULL WHEN l.toxic = 1 THEN 'file_failed' ELSE 'analyzed' END AS analysis_status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "raw_calls": "SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_orderkey % 50 = 0) WHERE dst IS NOT NULL",
+    "raw_calls": "SELECT * FROM (SELECT src, lead(src) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders JOIN (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) AS src FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey) WHERE dst IS NOT NULL",
     "calls": "SELECT DISTINCT src, dst FROM raw_calls WHERE src <> dst",
     "tests": "SELECT l.doc_id AS test_id, f.path AS target, CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS confidence FROM labels l JOIN files f ON l.doc_id = f.doc_id",
     "headings": "SELECT page_id, url AS object, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS subject FROM pages",
