@@ -100,3 +100,28 @@ def route(path: Column) -> tuple[Column, Column]:
     shown = F.regexp_replace(inner, r"/index$", "")
     kind = F.when(inner.contains("[..."), "rest").when(inner.contains("["), "dynamic").otherwise("static")
     return F.when(shown == "", "/").otherwise(shown), kind
+
+
+def tested_module(path: Column) -> Column:
+    """The module a test file's name points to: ``test_x.py`` or ``x_test.py`` give ``x``; null for others."""
+    name = F.element_at(F.split(path, "/"), -1)
+    found = F.coalesce(F.nullif(F.regexp_extract(name, r"^test_(.+)\.py$", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"^(.+)_test\.py$", 1), F.lit("")))
+    return found
+
+
+def joined_path(base: Column, specifier: Column) -> Column:
+    """A relative specifier from a folder, with ``.`` and ``..`` worked off; what leaves the root keeps its ``..``."""
+    parts = F.split(F.concat_ws("/", base, specifier), "/")
+    up = lambda done: (F.size(done) > 0) & (F.element_at(F.when(F.size(done) > 0, done).otherwise(F.array(F.lit(""))), -1) != "..")
+    step = lambda done, p: F.when(p.isin("", "."), done).when((p == "..") & up(done), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def redacted(message: Column, root: Column) -> Column:
+    """A message without the folder that the project lies in."""
+    return F.replace(message, root, F.lit("<project>"))
+
+
+def json_size(*columns: str) -> Column:
+    """Characters of a row as compact JSON."""
+    return F.length(F.to_json(F.struct(*columns))).cast("long")

@@ -10,7 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from repolens.plans import catalogue, extraction
+from repolens.plans import catalogue, extraction, lookups  # noqa: F401  lookups adds to the catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = catalogue.QUERIES | extraction.QUERIES
