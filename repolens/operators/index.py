@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import names
-from repolens.operators import linking
+from repolens.operators import linking, resolve
+from repolens.operators.cycles import settled
 from repolens.sources import repository
 
 EDGE = ["src", "dst", "relationship_type", "confidence", "evidence"]
@@ -34,7 +35,8 @@ def import_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 def call_edges(symbols: DataFrame, calls: DataFrame, imports: DataFrame, edges: DataFrame) -> DataFrame:
     """Symbol to symbol: a plain name means the caller's own module first, else what it imports by that name
-    (or a module's attribute); methods of unknown receivers are guessed among at most three in imported files."""
+    (or a module's attribute); ``self.x`` in a method means its class's own member; methods of unknown receivers
+    are guessed among at most three in imported files."""
     top = symbols.where("kind in ('function', 'class', 'method')")
     own = calls.join(top.select("path", F.col("name").alias("callee"), "qualified_name", "kind"), ["path", "callee"]).where("kind <> 'method'")
     same = own.select(F.col("caller").alias("src"), F.col("qualified_name").alias("dst"))
@@ -43,7 +45,10 @@ def call_edges(symbols: DataFrame, calls: DataFrame, imports: DataFrame, edges:
     left = calls.join(own.select("path", "callee").distinct(), ["path", "callee"], "left_anti")
     from_import = left.join(module, ["path", "callee"]).join(known, "dst", "left_semi").select(F.col("caller").alias("src"), "dst")
     as_module = left.where(F.col("callee").contains(".")).join(known.withColumn("callee", F.col("dst")), "callee", "left").where("dst is not null").select(F.col("caller").alias("src"), "dst")
-    high = _edges(same.unionByName(from_import).unionByName(as_module), "calls", "high", "name")
+    holder = resolve.parent_name(F.col("caller"))
+    on_self = left.where(F.col("callee").rlike(r"^self\.[^.]+$")).select("caller", holder.alias("owner"), F.substring("callee", 6, 200).alias("name"))
+    members = resolve.own_members(on_self, symbols.where("kind = 'method'")).select(F.col("caller").alias("src"), F.col("target").alias("dst"))
+    high = _edges(same.unionByName(from_import).unionByName(as_module).unionByName(members), "calls", "high", "name")
     method = F.element_at(F.split("callee", r"\."), -1)
     untyped = left.where(F.col("callee").contains(".") & ~F.col("callee").startswith("self.")).select("path", "caller", "line", method.alias("name"))
     reach = edges.where("relationship_type = 'imports'").select(F.col("src").alias("path"), F.col("dst").alias("target"))
@@ -74,13 +79,15 @@ def test_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame) -> Index:
-    """Extraction once, then links in an order of their needs. ``files`` as ``scan_files`` gives them."""
-    symbols = repository.symbols(files)
-    imports = repository.python_imports(files)
-    edges = import_edges(files, imports)
-    calls = call_edges(symbols, repository.python_calls(files), imports, edges)
+    """Extraction once, then links in an order of their needs. ``files`` as ``scan_files`` gives them. Symbols and
+    facts are cut off from the parsers that made them, so that no link parses anything again."""
+    symbols = settled(repository.symbols(files))
+    facts = settled(repository.python_facts(files))
+    imports, files = repository.imports_of(facts), files.drop("content")
+    edges = settled(import_edges(files, imports))
+    calls = call_edges(symbols, repository.calls_of(facts), imports, edges)
     all_edges = edges.unionByName(calls).unionByName(inheritance_edges(symbols, imports)).unionByName(test_edges(files, edges))
-    return Index(files.drop("content"), symbols, all_edges)
+    return Index(files, symbols, all_edges)
 
 
 def file_names(files: DataFrame) -> DataFrame:

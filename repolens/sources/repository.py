@@ -7,6 +7,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def scan_files(spark: SparkSession, root: str, exclude: list[str] | None = None,
     any content is read. Spark's reader gives no row for an empty file."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace("path", rf"^[a-z]+:/*{base.lstrip('/')}/", "")
+    path = F.regexp_replace("path", rf"^[a-z]+:/*\Q{base.lstrip('/')}\E/", "")
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content", F.try_element_at(table, extension).alias("language"))
@@ -74,19 +75,20 @@ def read_manifest(path: str, text: str) -> Iterator[dict]:
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """``ecosystem, name, declared, resolved``: what manifests declare, with the version that locks give."""
+    """``ecosystem, name, declared, resolved``: what manifests declare, with the version that locks give. Of
+    several declarations the first counts, by path and then place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [r for path, content in zip(batch["path"], batch["content"], strict=True) for r in read_manifest(path, bytes(content).decode("utf-8", "replace"))]
-            yield pd.DataFrame(found, columns=["ecosystem", "name", "version", "status"])
+            found = [{"path": path, "place": k} | r for path, content in zip(batch["path"], batch["content"], strict=True) for k, r in enumerate(read_manifest(path, bytes(content).decode("utf-8", "replace")))]
+            yield pd.DataFrame(found, columns=["path", "place", "ecosystem", "name", "version", "status"])
 
-    rows = files.select("path", "content").mapInPandas(run, "ecosystem string, name string, version string, status string")
+    rows = files.select("path", "content").mapInPandas(run, "path string, place long, ecosystem string, name string, version string, status string")
     name, version = names.requirement(F.col("name"))
     asked = F.col("status") == "requirement"
-    rows = rows.select("ecosystem", F.when(asked, name).otherwise(F.col("name")).alias("name"), F.when(asked, version).otherwise(F.col("version")).alias("version"), F.when(asked, "declared").otherwise(F.col("status")).alias("status")).where("name is not null")
+    rows = rows.select("path", "place", "ecosystem", F.when(asked, name).otherwise(F.col("name")).alias("name"), F.when(asked, version).otherwise(F.col("version")).alias("version"), F.when(asked, "declared").otherwise(F.col("status")).alias("status")).where("name is not null")
     key = F.when(F.col("ecosystem") == "python", names.normalized_package(F.col("name"))).otherwise(F.col("name"))
-    declared = rows.where("status = 'declared'").groupBy("ecosystem", key.alias("key")).agg(F.min_by("name", "name").alias("name"), F.first("version", ignorenulls=True).alias("declared"))
+    declared = rows.where("status = 'declared'").groupBy("ecosystem", key.alias("key")).agg(F.min_by(F.struct("name", "version"), F.struct("path", "place")).alias("first")).select("ecosystem", "key", "first.name", F.col("first.version").alias("declared"))
     resolved = rows.where("status = 'resolved'").groupBy("ecosystem", key.alias("key")).agg(F.max("version").alias("resolved"))
     return declared.join(resolved, ["ecosystem", "key"], "left").select("ecosystem", "name", "declared", "resolved")
 
@@ -127,29 +129,51 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInPandas(run, SYMBOL)
 
 
-def python_imports(files: DataFrame, roots: tuple[str, ...] = ("", "src/")) -> DataFrame:
-    """``path, line, candidates``: each import with the paths it may mean, best first."""
+FACTS = pa.schema([
+    ("path", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("module", pa.string()), ("name", pa.string()), ("local", pa.string()),
+    ("candidates", pa.list_(pa.string())), ("caller", pa.string()), ("callee", pa.string()), ("error", pa.string()),
+])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def python_facts(files: DataFrame, roots: tuple[str, ...] = ("", "src/")) -> DataFrame:
+    """Imports and calls of all Python sources from one parse, told apart by ``kind``. A file that can't be read
+    gives one row with the error and fails alone."""
+
+    def of(path: str, content: bytes) -> Iterator[dict]:
+        facts = extract_python.read_python(path, bytes(content).decode("utf-8", "replace"))
+        if facts.error:
+            yield {"kind": "error", "error": facts.error}
+        for r in facts.imports:
+            yield {"kind": "import", "line": r["line"], "module": r["module"], "name": r["name"], "local": r["local"], "candidates": list(extract_python.candidates(path, r, roots))}
+        for r in facts.calls:
+            yield {"kind": "call", "line": r["line"], "caller": r["caller"], "callee": r["callee"]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for r in extract_python.read_python(path, bytes(content).decode("utf-8", "replace")).imports:
-                    rows.append({"path": path, "line": r["line"], "module": r["module"], "name": r["name"], "candidates": list(extract_python.candidates(path, r, roots))})
-            yield pd.DataFrame(rows, columns=["path", "line", "module", "name", "candidates"])
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    rows += [{"path": path} | r for r in of(path, content)]
+                except Exception as e:  # noqa: BLE001  one file must not end the stage
+                    rows.append({"path": path, "kind": "error", "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=FACTS)
 
-    return files.where("language = 'python'").select("path", "content").mapInPandas(run, "path string, line int, module string, name string, candidates array<string>")
+    schema = "path string, kind string, line int, module string, name string, local string, candidates array<string>, caller string, callee string, error string"
+    return files.where("language = 'python'").select("path", "content").mapInArrow(run, schema)
 
 
-def python_calls(files: DataFrame) -> DataFrame:
-    """``path, caller, callee, line`` of each call by name."""
+def python_imports(files: DataFrame, roots: tuple[str, ...] = ("", "src/")) -> DataFrame:
+    """``path, line, module, name, candidates``: each import with the paths it may mean, best first."""
+    return imports_of(python_facts(files, roots))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"path": p} | c for p, t in zip(batch["path"], batch["content"], strict=True) for c in extract_python.read_python(p, bytes(t).decode("utf-8", "replace")).calls]
-            yield pd.DataFrame(rows, columns=["path", "caller", "callee", "line"])
 
-    return files.where("language = 'python'").select("path", "content").mapInPandas(run, "path string, caller string, callee string, line int")
+def imports_of(facts: DataFrame) -> DataFrame:
+    return facts.where("kind = 'import'").select("path", "line", "module", "name", "candidates")
+
+
+def calls_of(facts: DataFrame) -> DataFrame:
+    """``path, caller, callee, line`` of each call by name."""
+    return facts.where("kind = 'call'").select("path", "caller", "callee", "line")
 
 
 def architecture_facts(files: DataFrame) -> DataFrame:

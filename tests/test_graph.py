@@ -76,3 +76,13 @@ def test_index_links_a_small_repository(spark):
     assert ("tests/test_api.py", "store/api.py", "tests") in found
     assert ("store.api.Api", "store.base.Base", "inherits") in found
     assert ("store.api.Api.run", "store.base.helper", "calls") in found
+    plan = built.edges._jdf.queryExecution().toString()
+    assert "MapIn" not in plan  # nothing is parsed again
+
+
+def test_a_method_calls_its_own_class(spark):
+    source = b"class A:\n    def go(self):\n        self.stop()\n        self.missing()\n    def stop(self):\n        pass\nclass B:\n    def stop(self):\n        pass\n"
+    rows = [("m.py", "python", "source", len(source), None, bytearray(source)), ("bad.py", "python", "source", 5, None, bytearray(b"def ("))]
+    files = spark.createDataFrame(rows, "path string, language string, file_kind string, size long, modified timestamp, content binary")
+    calls = index.build(files).edges.where("relationship_type = 'calls'").collect()
+    assert {(r["src"], r["dst"]) for r in calls} == {("m.A.go", "m.A.stop")}
