@@ -9,7 +9,9 @@ task of their own.
 Fingerprints find most links and gather large groups, but not every link. The rest come from prefix
 filtering, which loses none: with shingles in one order for all texts, two sets of the least similarity
 share one of the first shingles of each. Pairs that share one, and that sizes, places and parity marks
-allow, are compared unless one group has both already.
+allow, are compared unless one group has both already. Texts of a shingle that many begin with are never
+written down as pairs: they meet, each once with its mark, in a task for all shingles of like texts, and
+only a forest of what the marks allow goes on.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialize, per_slice, slices, utf8
-from .simhash import SHORT_RUN, bit_counts, components, golay_links, shingle_hashes
+from .simhash import SHORT_RUN, bit_counts, components, forest, golay_links, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,6 +43,10 @@ MARK_BITS, PARITY_SHINGLES = 1_024, 2_000
 BLOCK_WORDS = 1_500_000
 #: Shingles are dealt out in so many shares, one after another, so that one share's rows are on disk at a time.
 SHARES = 4
+#: Runs of a shared shingle up to this long are written down as pairs, longer ones as their members.
+PAIRED_RUN = 8
+#: Pairs of long runs that are looked at together, and texts of a run beyond which it is cut into blocks for that.
+HELD_PAIRS, RUN_BLOCK = 2_000_000, 1_000
 #: Nodes of clusters that are sent to all tasks; more are joined.
 SENT_NODES = 200_000
 #: The root of a set that no cluster holds.
@@ -161,15 +167,34 @@ def mark_of(shingles: np.ndarray) -> np.ndarray:
 
 def apart(x: np.ndarray, y: np.ndarray) -> int:
     """No more than the number of shingles that only one of two marked sets has."""
-    if len(x) > len(y):
+    return int(apart_rows(x[None], y[None])[0])
+
+
+def apart_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``apart`` of the marks in each row."""
+    if x.shape[1] > y.shape[1]:
         x, y = y, x
-    if len(y) == MARK_BITS // 64:
-        return int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum())
-    bins = MARK_BITS if len(x) == MARK_BITS // 64 else 8 * len(x)
-    counts = y.view(np.uint8).astype(np.int64).reshape(-1, bins).sum(axis=0)
-    if len(x) == MARK_BITS // 64:
-        return int((np.unpackbits(x.view(np.uint8)) != (counts & 1)).sum())
-    return int(np.abs(counts - x.view(np.uint8)).sum())
+    parity = x.shape[1] == MARK_BITS // 64
+    if y.shape[1] == MARK_BITS // 64:
+        return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=1, dtype=np.int64)
+    bins = MARK_BITS if parity else 8 * x.shape[1]
+    counts = y.view(np.uint8).reshape(len(y), -1, bins).sum(axis=1, dtype=np.int64)
+    if parity:
+        return (np.unpackbits(x.view(np.uint8), axis=1) != (counts & 1)).sum(axis=1)
+    return np.abs(counts - x.view(np.uint8)).sum(axis=1)
+
+
+def apart_in_pairs(x: np.ndarray, i: np.ndarray, m: np.ndarray, y: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``apart`` of pairs of marks, ``m`` numbers from place ``i`` of ``x`` on and ``n`` from place ``j`` of ``y``; those of
+    like lengths at once."""
+    differ = np.zeros(len(i), np.int64)
+    for p, q in np.unique(np.stack([m, n], axis=1), axis=0).tolist():
+        same = np.flatnonzero((m == p) & (n == q))
+        step = max(1, (1 << 19) // max(p, q))
+        for low in range(0, len(same), step):
+            at = same[low : low + step]
+            differ[at] = apart_rows(x[i[at, None] + np.arange(p)], y[j[at, None] + np.arange(q)])
+    return differ
 
 
 def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +230,57 @@ def pairs_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np
     return a, b
 
 
+def met_in_runs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """``a, b, key, place``, in proportion to what is given (sorted by key and node): the pairs (a, b) of ``pairs_in_runs``
+    with place -1 for short runs, and for each other run that no root joins its members b, with the first of them as a."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begin, len(keys)))
+    short = np.repeat(length <= PAIRED_RUN, length)
+    a, b = pairs_in_runs(*(c[short] for c in (keys, node, root, size, place)))
+    joined = np.maximum.reduceat(root, begin) == np.minimum.reduceat(root, begin) if len(keys) else np.zeros(0, bool)
+    sent = ~short & ~np.repeat(joined & (root[begin] != ALONE), length)
+    first = np.repeat(node[begin], length)
+    return [np.concatenate(c) for c in ((a, first[sent]), (b, node[sent]), (np.zeros_like(a), keys[sent]), (np.full_like(a, -1), place[sent]))]
+
+
+def run_pieces(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places in ``keys`` (sorted) so that any two of an equal key are together in one piece, and none holds many pairs."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    end = begin + np.diff(np.append(begin, len(keys)))
+    held, pairs = 0, 0
+    for start, stop in zip(begin.tolist(), end.tolist(), strict=True):
+        n = stop - start
+        if n <= 2 * RUN_BLOCK and pairs + n * n // 2 <= HELD_PAIRS:
+            pairs += n * n // 2
+            continue
+        if start > held:
+            yield np.arange(held, start)
+        held, pairs = start, n * n // 2
+        if n > 2 * RUN_BLOCK:
+            blocks = [np.arange(k, min(k + RUN_BLOCK, stop)) for k in range(start, stop, RUN_BLOCK)]
+            yield from (np.concatenate([blocks[x], blocks[y]]) for x in range(len(blocks)) for y in range(x + 1, len(blocks)))
+            held, pairs = stop, 0
+    if len(keys) > held:
+        yield np.arange(held, len(keys))
+
+
+def allowed_links(keys: np.ndarray, own: np.ndarray, place: np.ndarray, root: np.ndarray, size: np.ndarray, marks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over sets of the pairs that share a key and whose sizes, places and marks allow them to be similar;
+    ``own`` is the number of the set that has ``keys`` (sorted) at ``place``, the mark of set k is marks[ends[k]:ends[k + 1]]."""
+    a = b = np.zeros(0, np.int64)
+    label, long = np.arange(len(size)), np.diff(ends)
+    for at in run_pieces(keys):
+        x, y = pairs_in_runs(keys[at], own[at], root[own[at]], size[own[at]], place[at])
+        apart_yet = label[x] != label[y]
+        x, y = x[apart_yet], y[apart_yet]
+        differ = apart_in_pairs(marks, ends[x], long[x], marks, ends[y], long[y])
+        keep = enough((size[x] + size[y] - differ) // 2, size[x], size[y])
+        if keep.any():
+            a, b = forest(np.concatenate([a, x[keep]]), np.concatenate([b, y[keep]]))
+            label[a] = b
+    return a, b
+
+
 def prefix_links(rows: DataFrame, prints: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """All links ``(a, b)`` between similar nodes of ``rows`` that ``roots`` (node, root) doesn't join."""
     total = prints.count()
@@ -247,9 +323,9 @@ def prefix_links(rows: DataFrame, prints: DataFrame, roots: DataFrame, block: in
         held: list[np.ndarray] | None = None
 
         def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = pairs_in_runs(*columns)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found = met_in_runs(*columns)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "key", "place"])
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
@@ -268,19 +344,51 @@ def prefix_links(rows: DataFrame, prints: DataFrame, roots: DataFrame, block: in
         for batch in batches:
             a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "size_a", "size_b"))
             (x, i), (y, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("mark_a"), batch.column("mark_b")))
-            differ = np.array([apart(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) for k in range(len(a))], np.int64)
+            differ = apart_in_pairs(x, i[:-1], np.diff(i), y, j[:-1], np.diff(j))
             keep = enough((m + n - differ) // 2, m, n)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``allowed_links`` of the runs of one first member after another."""
+        parts: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            node, root, size, at, mark = (c.chunk(0) for c in pa.Table.from_batches(parts).combine_chunks().select(["node", "root", "size", "at", "mark"]).columns)
+            node, root, size, held = node.to_numpy(), root.to_numpy(), size.to_numpy(), at.flatten()
+            keys, place = (held.field(c).to_numpy() for c in ("key", "place"))
+            own = np.repeat(np.arange(len(node)), np.diff(at.offsets.to_numpy()))
+            order = np.lexsort((own, keys))
+            ends = mark.offsets.to_numpy()
+            a, b = allowed_links(keys[order], own[order], place[order], root, size, mark.flatten().to_numpy(), ends - ends[0])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        for batch in batches:
+            first = batch.column("first").to_numpy()
+            cuts = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if parts and parts[-1].column("first")[0].as_py() != first[low]:
+                    yield from out()
+                    parts = []
+                parts.append(batch.slice(low, high - low))
+        if parts:
+            yield from out()
+
     met = []
     for share in range(SHARES):
         rows.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of what is done
         keyed = sets.select("node", "root", "size", "keys").mapInArrow(spread(share), schema)
-        met.append(materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long").distinct(), "met"))
-    pairs = reduce(DataFrame.unionByName, met).distinct()
+        met.append(materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long, key long, place long").distinct(), "met"))
+    found = reduce(DataFrame.unionByName, met)
+    pairs = found.where("place < 0").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")), c)
     pairs = pairs.mapInArrow(allowed, "a long, b long")
+    members = found.where("place >= 0").groupBy(F.col("a").alias("first"), F.col("b").alias("node")).agg(F.collect_list(F.struct("key", "place")).alias("at"))
+    members = members.join(sets.select("node", "root", "size", "mark"), "node").repartition("first").sortWithinPartitions("first", "node")
+    pairs = pairs.unionByName(members.mapInArrow(gathered, "a long, b long"))
     return verified_links(rows, prints, components(pairs), block)
 
 
